@@ -35,7 +35,7 @@ CHUNK = 8_192
 #: Children of an upper node of the index.
 FAN = 8
 #: Node pairs looked at together.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -123,10 +123,10 @@ def local_links(
 
     while todo:
         level, a, b = todo.pop()
-        if len(a) > PAIRS:
-            h = len(a) // 2
-            todo += [(level, a[:h], b[:h]), (level, a[h:], b[h:])]
-            continue
+        most = PAIRS if level == 0 else max(1, PAIRS // (FAN * FAN))
+        if len(a) > most:  # depth first: the rest waits, so that few pairs are held at a time
+            todo.append((level, a[most:], b[most:]))
+            a, b = a[:most], b[:most]
         if level == 0:
             keep = a < b
             if side is not None:
@@ -146,15 +146,12 @@ def local_links(
         pattern, mask, _ = levels[level - 1]
         na, nb = first[a + 1] - first[a], first[b + 1] - first[b]
         n = na * nb
-        for lo in range(0, len(a), max(1, PAIRS // (FAN * FAN))):
-            hi = min(len(a), lo + max(1, PAIRS // (FAN * FAN)))
-            m = n[lo:hi]
-            which = np.repeat(np.arange(lo, hi), m)
-            place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            x, y = first[a[which]] + place // nb[which], first[b[which]] + place % nb[which]
-            keep = (np.bitwise_count((pattern[x] ^ pattern[y]) & mask[x] & mask[y]) <= radius) & (x <= y)
-            if keep.any():
-                todo.append((level - 1, x[keep], y[keep]))
+        which = np.repeat(np.arange(len(a)), n)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        x, y = first[a[which]] + place // nb[which], first[b[which]] + place % nb[which]
+        keep = (np.bitwise_count((pattern[x] ^ pattern[y]) & mask[x] & mask[y]) <= radius) & (x <= y)
+        if keep.any():
+            todo.append((level - 1, x[keep], y[keep]))
     return root(np.arange(len(values)))
 
 
@@ -185,7 +182,7 @@ def hamming_links(nodes: DataFrame, radius: int, bits: int = 64, check_radius: i
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, offsets in sorted_groups(batches, ["k", "i", "j"], 200_000):
+        for t, offsets in sorted_groups(batches, ["k", "i", "j"], 50_000):
             sizes = np.diff(offsets)
             group = np.repeat(np.arange(len(sizes)), sizes)
             many = np.repeat(sizes > 1, sizes)
