@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import texts
+from .common import small_batches, texts
 
 
 def byte_characters() -> list[str]:
@@ -82,7 +82,7 @@ class Encoder:
     """Encodes texts into little-endian unsigned 32-bit ids, with a bounded memory of words it has met."""
 
     #: Words remembered by each Python worker; later new words are encoded again each time.
-    REMEMBERED = 300_000
+    REMEMBERED = 150_000
     #: White space to some readers of Unicode and not to others.
     ODD = "᠎​﻿\x00"
 
@@ -191,8 +191,9 @@ def _extended(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name not in names] + fields)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", spans: bool = True) -> DataFrame:
-    """Add ``ids`` (array<int>) and, with ``spans``, ``char_starts`` and ``char_ends`` (array<int>) of each token's characters."""
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", spans: bool = True, checked: str | None = None) -> DataFrame:
+    """Add ``ids`` (array<int>) and, with ``spans``, ``char_starts`` and ``char_ends`` (array<int>) of each token's characters; ``checked`` names a
+    boolean column that tells whether decoding the ids gives the text's bytes again."""
     ints = T.ArrayType(T.IntegerType(), False)
     names = [ids, *(["char_starts", "char_ends"] if spans else [])]
 
@@ -205,9 +206,13 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", spans
                     pairs = [character_spans(np.frombuffer(p, "<u4"), path) for p in parts]
                     for k, name in enumerate(("char_starts", "char_ends")):
                         new[name] = ids_array([p[k].astype("<u4").tobytes() for p in pairs])
+                if checked:
+                    same = [decode_ids(np.frombuffer(p, "<u4"), path) == t for p, t in zip(parts, texts(b.column(text)), strict=True)]
+                    new[checked] = pa.array(same, pa.bool_())
                 yield with_columns(b, new)
 
-    return df.mapInArrow(run, _extended(df, [T.StructField(n, ints) for n in names]))
+    fields = [T.StructField(n, ints) for n in names] + ([T.StructField(checked, T.BooleanType())] if checked else [])
+    return small_batches(df).mapInArrow(run, _extended(df, fields))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -242,4 +247,4 @@ def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text"
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return small_batches(df).select(key, text).mapInArrow(run, schema)

@@ -42,6 +42,17 @@ def stored(df: DataFrame, **options: object) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bound the Arrow batches of the session, so that a batch of very long texts fits in a Python worker. Returns the table as it is."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", 1_024), ("maxBytesPerBatch", 16 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def words_of(text: str | Column) -> Column:
     """The words of a text as an array; null and blank texts give an empty array."""
     c = F.col(text) if isinstance(text, str) else text

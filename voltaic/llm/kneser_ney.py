@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import stored
+from .common import small_batches, stored
 
 ORDER = 4
 SYMBOLS = 64
@@ -54,7 +54,7 @@ def alphabet(trusted: DataFrame, text: str = "text") -> np.ndarray:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["point", "n"])
 
-    rows = trusted.select(text).mapInArrow(run, "point int, n long").groupBy("point").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point").limit(SYMBOLS - 2).collect()
+    rows = small_batches(trusted).select(text).mapInArrow(run, "point int, n long").groupBy("point").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point").limit(SYMBOLS - 2).collect()
     table = np.full(0x110000, OTHER, np.uint8)
     for i, r in enumerate(rows):
         table[r.point] = i + 2
@@ -87,7 +87,7 @@ def run_counts(trusted: DataFrame, table: np.ndarray, text: str = "text") -> Dat
             part = at[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], names=["code", "c"])
 
-    return trusted.select(text).mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+    return small_batches(trusted).select(text).mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
 
 def probabilities(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -169,7 +169,7 @@ def perplexities(df: DataFrame, model: Model, key: str = "doc_id", text: str = "
                 n, p = zip(*map(shared.value.perplexity, b.column(text).to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([b.column(key), b.column(lang), pa.array(n, pa.int64()), pa.array(p, pa.float64())], names=[key, "lang", "n_scored", "perplexity"])
 
-    return df.select(key, text, F.col(lang).cast("string").alias(lang)).mapInArrow(run, schema)
+    return small_batches(df).select(key, text, F.col(lang).cast("string").alias(lang)).mapInArrow(run, schema)
 
 
 def limits(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import mix, sorted_groups, stored, texts
+from .common import mix, small_batches, sorted_groups, stored, texts
 from .components import connected_components
 from .simhash_dedup import _LOWER, hamming_links, shingle_hashes
 
@@ -77,7 +77,7 @@ def _scan(docs: DataFrame, key: str, text: str) -> DataFrame:
                         found[-1] = prints(np.unique(shingle_hashes(t, SHINGLE)))
                 yield pa.RecordBatch.from_arrays([b.column(key), b.column("h"), pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=[key, "h", "node", "prints"])
 
-    return docs.select(key, F.xxhash64(text).alias("h"), text).mapInArrow(run, f"`{key}` {kind}, h long, node long, prints array<long>")
+    return small_batches(docs).select(key, F.xxhash64(text).alias("h"), text).mapInArrow(run, f"`{key}` {kind}, h long, node long, prints array<long>")
 
 
 def _bodies(docs: DataFrame, text: str) -> DataFrame:
@@ -92,7 +92,7 @@ def _bodies(docs: DataFrame, text: str) -> DataFrame:
                         rows.append((n, pack(t)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "body"])
 
-    return docs.select(text).mapInArrow(run, "node long, body binary")
+    return small_batches(docs).select(text).mapInArrow(run, "node long, body binary")
 
 
 def _similar(a: np.ndarray, b: np.ndarray) -> bool:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import encode_bytes, ids_array, slices, with_columns
+from .common import small_batches
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
@@ -47,7 +48,7 @@ def write_tokens(
     ordered = (
         df.select(key, *meta, text).repartitionByRange(F.col(key)).sortWithinPartitions(F.col(key), F.xxhash64(text), F.xxhash64(*meta, F.lit(0)))
     )
-    ordered.mapInArrow(run, schema).write.options(
+    small_batches(ordered).mapInArrow(run, schema).write.options(
         **{
             "compression": "zstd",
             "parquet.block.size": ROW_GROUP_BYTES,
