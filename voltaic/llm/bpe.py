@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -78,64 +79,113 @@ def token_bytes(path: str) -> list[bytes]:
     return out
 
 
+#: White space that isn't a single space or line break between two other characters, and characters that readers of Unicode differ about.
+_IRREGULAR = (
+    "[\\x00-\\x09\\x0b-\\x1f\\x7f-\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200f}\\x{2028}-\\x{202f}\\x{205f}-\\x{2064}\\x{3000}\\x{feff}]"
+    "|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z|\\A\\z"
+)
+
+
 class Encoder:
-    """Encodes texts into little-endian unsigned 32-bit ids, with a bounded memory of words it has met."""
+    """Encodes texts into ids, with a bounded memory of words it has met.
 
-    #: Words remembered by each Python worker; later new words are encoded again each time.
+    A unit is a word with the space or line break before it. Equal units of a batch are looked up once. A new unit of letters, or of letters and a final
+    stop, is one piece of the pattern (or two) and goes to the library's BPE model at once; other new units go through its whole encoder.
+    """
+
+    #: Units remembered by each Python worker; later new ones are encoded again in each batch.
     REMEMBERED = 150_000
-    #: White space to some readers of Unicode and not to others.
-    ODD = "᠎​﻿\x00"
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
+        self.model = self.tokenizer.model
+        self.spelling = {i: c for i, c in enumerate(byte_characters()) if i != 10}
         self.known: dict[str, bytes] = {}
         self.line_break = self._whole(["\n"])[0]
-        if len(self.line_break) != 4 or self._whole([" a\n b", " a", " b"])[0].split(self.line_break) != self._whole([" a", " b"]):
+        probe = "\n".join(["a", " a", " b"])
+        if len(self.line_break) != 4 or self._whole([probe])[0].split(self.line_break) != self._whole(["a", " a", " b"]):
             self.line_break = b""  # a vocabulary whose line break isn't a token of its own
 
     def _whole(self, batch: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
 
-    def _units(self, text: str) -> list[str] | None:
-        """The text in pieces of one word with what stands before it; None if its white space is irregular."""
-        words = text.split()
-        n = len(words) - 1
-        if n < 0 or text.count(" ") + text.count("\n") != n or len(text) - len("".join(words)) != n or any(c in text for c in self.ODD):
-            return None
-        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        if not self.line_break:
-            return self._whole(batch)
-        units = [self._units(t) for t in batch]
+    def _pieces(self, words: list[str]) -> list[bytes]:
+        """The ids of words that are one piece of the pattern each."""
+        if not words:
+            return []
+        spelt = "\n".join(words).encode().decode("latin-1").translate(self.spelling).split("\n")
+        ids: list[int] = []
+        ends = [0]
+        tokenize = self.model.tokenize
+        for w in spelt:
+            ids += [t.id for t in tokenize(w)]
+            ends.append(4 * len(ids))
+        raw = np.array(ids, "<u4").tobytes()
+        return [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+
+    def _new(self, units: list[str]) -> dict[str, bytes]:
+        """The ids of units not met before."""
+        out: dict[str, bytes] = {}
+        rest, plain, stems = [], [], set()
+        for u in units:
+            body = u[1:] if u[0] == "\n" else u
+            stop = body[-1] if body[-1] in ",." else ""
+            stem = body[:-1] if stop else body
+            letters = stem.lstrip(" ")
+            if letters.isalpha() and max(letters) < "ɐ":
+                plain.append((u, stem, stop))
+                stems.add(stem)
+            else:
+                rest.append(u)
+        stems.update((",", "."))
         known = self.known
-        fresh = {u for us in units if us for u in us if u not in known}
-        stops = [u for u in fresh if u[-1] in ",." and len(u) > 1 and u[-2] < "ɐ" and u[-2].isalpha()]  # a letter and a stop: two pieces
-        fresh.difference_update(stops)
-        fresh.update(x for u in stops for x in (u[:-1], u[-1]) if x not in known)
-        new = list(fresh)
-        extra: dict[str, bytes] = {}
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+        fresh = [x for x in stems if x not in known]
+        out.update(zip(fresh, self._pieces(fresh), strict=True))
+        for u, stem, stop in plain:
+            ids = out[stem] if stem in out else known[stem]
+            if stop:
+                ids += out[stop] if stop in out else known[stop]
+            out[u] = self.line_break + ids if u[0] == "\n" else ids
+        for i in range(0, len(rest), 20_000):
+            part = rest[i : i + 20_000]
             ids = np.frombuffer(self._whole(["\n".join([u[1:] if u[0] == "\n" else u for u in part])])[0], "<u4")
             ends = np.append(np.flatnonzero(ids == int.from_bytes(self.line_break, "little")), len(ids))
             assert len(ends) == len(part)
             raw, start = ids.tobytes(), 0
             for u, end in zip(part, (ends * 4).tolist(), strict=True):
-                extra[u] = self.line_break + raw[start:end] if u[0] == "\n" else raw[start:end]
+                out[u] = self.line_break + raw[start:end] if u[0] == "\n" else raw[start:end]
                 start = end + 4
-        for u in stops:
-            stem, stop = u[:-1], u[-1]
-            extra[u] = (extra[stem] if stem in extra else known[stem]) + (extra[stop] if stop in extra else known[stop])
-        if len(known) + len(extra) <= self.REMEMBERED:
+        return out
+
+    def encode(self, batch: pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        odd = pc.match_substring_regex(batch, _IRREGULAR).to_numpy(zero_copy_only=False)
+        if not self.line_break or odd.all():
+            return self._whole(batch.to_pylist())
+        regular = batch.filter(pa.array(~odd))
+        lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(regular, " ", "\0 "), "\n", "\0\n"), "\0")
+        coded = lists.flatten().dictionary_encode()
+        at, units = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        known = self.known
+        found = [known.get(u) for u in units]
+        extra = self._new([u for u, ids in zip(units, found, strict=True) if ids is None])
+        found = [ids if ids is not None else extra[u] for u, ids in zip(units, found, strict=True)]
+        if len(known) < self.REMEMBERED:
             known.update(extra)
-            get = known.__getitem__
-        else:
-            for u in list(extra)[: max(0, self.REMEMBERED - len(known))]:
-                known[u] = extra[u]
-            get = lambda u: known[u] if u in known else extra[u]
-        odd = iter(self._whole([t for t, us in zip(batch, units, strict=True) if us is None]))
-        return [next(odd) if us is None else b"".join(map(get, us)) for us in units]
+        # Every unit's ids stand in one array; a text's ids are gathered from it.
+        sizes = np.fromiter((len(x) >> 2 for x in found), np.int64, len(found))
+        flat = np.frombuffer(b"".join(found), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[at]
+        ends = np.cumsum(n)
+        place = np.arange(ends[-1]) + np.repeat(starts[at] - (ends - n), n)
+        ids = flat[place].tobytes()
+        cut = np.append(0, ends)[lists.offsets.to_numpy() - lists.offsets[0].as_py()] * 4
+        parts = iter([ids[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)])
+        if not odd.any():
+            return list(parts)
+        whole = iter(self._whole(batch.filter(pa.array(odd)).to_pylist()))
+        return [next(whole) if x else next(parts) for x in odd.tolist()]
 
 
 @lru_cache(maxsize=2)
@@ -143,11 +193,12 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_bytes(column: pa.Array, path: str, at_once: int = 256) -> Iterator[bytes]:
+def encode_bytes(column: pa.Array, path: str, at_once: int = 1_024) -> Iterator[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers, null as empty."""
     own = encoder(path)
+    column = pc.fill_null(column, "")
     for i in range(0, len(column), at_once):
-        yield from own.encode([b.decode("utf-8", "replace") for b in texts(column.slice(i, at_once))])
+        yield from own.encode(column.slice(i, at_once))
 
 
 def decode_ids(ids: np.ndarray, path: str) -> bytes:
