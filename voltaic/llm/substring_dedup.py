@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices, with_columns
-from .common import gram_hashes, sorted_groups, stored, texts, word_hashes
+from .common import gram_hashes, small_batches, sorted_groups, stored, texts, word_hashes
 
 #: Words of an anchor.
 GRAM = 8
 #: Occurrences of an anchor up to which its group is held in memory.
-GROUP = 20_000
+GROUP = 4_000
 
 _U = np.uint64
 _STEP = 0xA0761D6478BD642F
@@ -81,10 +81,10 @@ def _digest(line: bytes) -> tuple[int, int]:
 
 
 def _scan(docs: DataFrame, text: str, window: int, gram: int) -> DataFrame:
-    """A row per document: its other columns, digest, words, hash of its words; and once per text and task its anchors, with whether they recur
-    in the text. Texts too short for a window are carried along."""
+    """A row per document: its other columns, digest, words, hash of its words; and once per text and task its anchors, with how often they
+    occur in it. Texts too short for a window are carried along."""
     kept = [f for f in docs.schema.fields if f.name != text]
-    new = T.StructType.fromDDL("d1 long, d2 long, n_words long, whole_sha256 string, short string, anchor array<long>, twice array<boolean>").fields
+    new = T.StructType.fromDDL("d1 long, d2 long, n_words long, whole_sha256 string, short string, anchor array<long>, times array<int>").fields
     schema = T.StructType([*kept, *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,19 +94,19 @@ def _scan(docs: DataFrame, text: str, window: int, gram: int) -> DataFrame:
                 rows = []
                 for t in texts(b.column(text)):
                     words, d = t.split(), _digest(t)
-                    keys, twice = [], []
+                    keys, times = [], []
                     if len(words) >= window and d not in seen:
                         seen.add(d)
                         grams, at = anchors(word_hashes(words), window, gram)
                         places = at[np.append(True, at[1:] != at[:-1])]  # places never go back
                         values, counts = np.unique(grams[places], return_counts=True)
-                        keys, twice = values.view(np.int64).tolist(), (counts > 1).tolist()
+                        keys, times = values.view(np.int64).tolist(), counts.tolist()
                     short = t.decode("utf-8", "replace") if len(words) < window else None
-                    rows.append((*d, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), short, keys, twice))
+                    rows.append((*d, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), short, keys, times))
                 cols = [pa.array(c, _arrow(f)) for c, f in zip(zip(*rows, strict=True), new, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), *cols], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def _arrow(field: T.StructField) -> pa.DataType:
@@ -131,7 +131,7 @@ def _bodies(docs: DataFrame, text: str, window: int) -> DataFrame:
                 one, two, body = zip(*rows, strict=True) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(body, pa.binary())], names=["d1", "d2", "body"])
 
-    return docs.select(text).mapInArrow(run, "d1 long, d2 long, body binary")
+    return small_batches(docs).select(text).mapInArrow(run, "d1 long, d2 long, body binary")
 
 
 def _once(batch: pa.RecordBatch, names: tuple[str, ...], last: set[tuple[int, int]]) -> Iterator[tuple]:
@@ -159,18 +159,18 @@ def repeated_spans(
     copies = scan.where(F.col("n_words") >= window).groupBy("d1", "d2").agg(F.count("*").alias("copies"))
 
     # Anchors of two texts, or twice in one.
-    pairs = scan.where(F.size("anchor") > 0).select("d1", F.explode(F.arrays_zip("anchor", "twice")).alias("a")).select("d1", F.col("a.anchor").alias("anchor"), F.col("a.twice").alias("twice"))
+    pairs = scan.where(F.size("anchor") > 0).select("d1", F.explode(F.arrays_zip("anchor", "times")).alias("a")).select("d1", F.col("a.anchor").alias("anchor"), F.col("a.times").alias("times"))
     counted = (
         pairs.groupBy("anchor")
-        .agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.max("twice").alias("twice"), F.count("*").alias("n"))
-        .where("lo <> hi or twice")
+        .agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.max("times").alias("most"), F.sum("times").alias("n"))
+        .where("lo <> hi or most > 1")
         .select("anchor", (F.col("n") > group).alias("large"))
     )
     wanted = pairs.join(counted, "anchor")
 
     bodies = _bodies(docs, text, window)
 
-    packed = T.StructType.fromDDL("anchor long, d1 long, d2 long, start int, place int, windows binary")
+    packed = T.StructType.fromDDL("anchor long, d1 long, d2 long, starts binary, place int, windows binary")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -186,9 +186,12 @@ def repeated_spans(
                 ends = np.append(first[1:], len(at))
                 value = grams[at[first]]
                 pos = np.minimum(np.searchsorted(want, value), len(want) - 1)
+                rows: dict[tuple, list[int]] = {}  # a text's equal rows are one, with all their starts
                 for i in np.flatnonzero(want[pos] == value).tolist():
                     s, e = int(first[i]), int(ends[i])
-                    row = (int(value[i : i + 1].view(np.int64)[0]), one, two, s, int(at[s]) - s, keys[s:e].tobytes())
+                    rows.setdefault((int(value[i]), int(at[s]) - s, keys[s:e].tobytes()), []).append(s)
+                for (anchor, place, blob), starts in rows.items():
+                    row = (anchor - (anchor >> 63 << 64), one, two, np.array(starts, np.int32).tobytes(), place, blob)
                     for column, x in zip(out, row, strict=True):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, _arrow(f)) for c, f in zip(out, packed.fields, strict=True)], names=packed.names)
@@ -197,7 +200,7 @@ def repeated_spans(
         sets = some.groupBy("d1").agg(F.collect_set("anchor").alias("wanted"))
         return bodies.join(sets, "d1").sortWithinPartitions("d1", "d2").mapInArrow(windows, packed)
 
-    hits_type = "d1 long, d2 long, start int, flags binary"
+    hits_type = "d1 long, d2 long, starts binary, flags binary"
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Nodes with two suffixes or more below them, in groups of one anchor: which windows of each row repeat."""
@@ -215,11 +218,12 @@ def repeated_spans(
             again = np.zeros(len(flat), bool)
             again[order[1:]] = same
             again[order[:-1]] |= same
+            again |= (np.fromiter((len(x) > 4 for x in t.column("starts").to_pylist()), bool, len(blobs)))[row]
             flags = again.astype(np.uint8).tobytes()
             some = np.flatnonzero(np.add.reduceat(again, begin) > 0) if len(flat) else np.zeros(0, np.int64)
-            picked = t.select(["d1", "d2", "start"]).take(pa.array(some)).combine_chunks()
+            picked = t.select(["d1", "d2", "starts"]).take(pa.array(some)).combine_chunks()
             bits = pa.array([flags[begin[i] : begin[i] + sizes[i]] for i in some.tolist()], pa.binary())
-            yield from pa.table([*picked.columns, bits], names=["d1", "d2", "start", "flags"]).to_batches()
+            yield from pa.table([*picked.columns, bits], names=["d1", "d2", "starts", "flags"]).to_batches()
 
     small = made(wanted.where("not large")).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(repeats, hits_type)
 
@@ -231,15 +235,15 @@ def repeated_spans(
             offset = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             keys = np.frombuffer(b"".join(b.column("windows").to_pylist()), np.int64)
             take = lambda n: b.column(n).take(pa.array(row))  # noqa: E731,B023
-            yield pa.RecordBatch.from_arrays(
-                [take("anchor"), pa.array(keys), take("d1"), take("d2"), pa.array((b.column("start").to_numpy()[row] + offset).astype(np.int32))], names=["anchor", "key", "d1", "d2", "start"]
-            )
+            times = np.array([len(x) // 4 for x in b.column("starts").to_pylist()], np.int64)[row]
+            columns = [take("anchor"), pa.array(keys), take("d1"), take("d2"), take("starts"), pa.array(offset.astype(np.int32)), pa.array(times)]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "key", "d1", "d2", "starts", "offset", "times"])
 
-    long_ = made(wanted.where("large")).mapInArrow(single, "anchor long, key long, d1 long, d2 long, start int")
-    deep = long_.groupBy("anchor", "key").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "key")
-    large = long_.join(deep, ["anchor", "key"]).select("d1", "d2", "start", F.lit(b"\x01").alias("flags"))
+    long_ = made(wanted.where("large")).mapInArrow(single, "anchor long, key long, d1 long, d2 long, starts binary, offset int, times long")
+    deep = long_.groupBy("anchor", "key").agg(F.sum("times").alias("n")).where("n > 1").select("anchor", "key")
+    large = long_.join(deep, ["anchor", "key"]).select("d1", "d2", "starts", F.concat(F.repeat(F.lit("\0"), F.col("offset")), F.lit("\1")).cast("binary").alias("flags"))
 
-    hits = small.union(large).groupBy("d1").agg(F.collect_list(F.struct("d2", "start", "flags")).alias("hits"))
+    hits = small.union(large).groupBy("d1").agg(F.collect_list(F.struct("d2", "starts", "flags")).alias("hits"))
     again = copies.where("copies > 1").groupBy("d1").agg(F.collect_list("d2").alias("copied"))
     found = hits.join(again, "d1", "full")
 
@@ -257,9 +261,9 @@ def repeated_spans(
                     step[0], step[-1] = 1, -1
                 for h in hit or []:
                     if h["d2"] == two:
-                        starts = h["start"] + np.flatnonzero(np.frombuffer(h["flags"], np.uint8))
-                        np.add.at(step, starts, 1)
-                        np.add.at(step, starts + window, -1)
+                        starts = np.frombuffer(h["starts"], np.int32)[:, None] + np.flatnonzero(np.frombuffer(h["flags"], np.uint8))
+                        np.add.at(step, starts.ravel(), 1)
+                        np.add.at(step, starts.ravel() + window, -1)
                 gone = np.cumsum(step[:-1]) > 0
                 if not gone.any():
                     row = (one, two, 0, [], None, body if texts_too else None)
