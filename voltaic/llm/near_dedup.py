@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .bpe import slices
 from .common import mix, small_batches, sorted_groups, stored, texts
 from .components import connected_components
-from .simhash_dedup import _LOWER, hamming_links, shingle_hashes
+from .simhash_dedup import _LOWER, hamming_links, least_of, shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -164,9 +164,10 @@ def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -
             u, v = [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 root = _verified([np.frombuffer(x, np.uint64) for x in blobs[a:b]], marks[a:b], s[a:b] if cross[a] else None)
-                far = np.flatnonzero(root != np.arange(b - a))
-                u += node[a + far].tolist()
-                v += node[a + root[far]].tolist()
+                least = least_of(root, node[a:b])
+                far = node[a:b] != least
+                u += node[a:b][far].tolist()
+                v += least[far].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     links = dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(verify, "u long, v long")

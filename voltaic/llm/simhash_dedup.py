@@ -155,6 +155,13 @@ def local_links(
     return root(np.arange(len(values)))
 
 
+def least_of(root: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The least node of each one's component."""
+    least = np.full(len(node), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, node)
+    return least[root]
+
+
 def hamming_links(nodes: DataFrame, radius: int, bits: int = 64, check_radius: int | None = None) -> DataFrame:
     """Links ``u``, ``v`` between nodes whose components are those of all pairs within ``radius`` differing bits.
 
@@ -197,8 +204,9 @@ def hamming_links(nodes: DataFrame, radius: int, bits: int = 64, check_radius: i
                 side = t.column("s").to_numpy(zero_copy_only=False)[at] if mixed else None
                 check = t.column("check").to_numpy()[at].view(np.uint64) if also else None
                 root = local_links(group[at], value, radius, side, check, check_radius or 64)
-                far = np.flatnonzero(root != np.arange(len(at)))
-                yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[root[far]])], names=["u", "v"])
+                least = least_of(root, node)  # the same in most partitions of a large group, so that most links are equal
+                far = node != least
+                yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(least[far])], names=["u", "v"])
 
     return dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(run, "u long, v long")
 
