@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, weighted votes, calibrated scores and evidence.
 
-Terms are the runs of four and five letters inside of lower-cased words that mark one label: those whose presence depends on the label by a
-chi-square test on the learning sample, at most ``MOST_TERMS`` of them. A text's vector has (1 + ln tf) * idf for each, with unit norm. The
+Terms are the runs of four and five letters inside of lower-cased words that mark toxic texts: those whose presence depends on the label by a
+chi-square test on the learning sample and that are ``LEAST_LIFT`` times as frequent in toxic texts, at most ``MOST_TERMS`` of them. A text's vector has (1 + ln tf) * idf for each, with unit norm. The
 index keeps the examples in blocks; a block's greatest weight of each term bounds the cosine of all its examples, so blocks are scored
 from the highest bound down until none can reach the ``NEIGHBOURS`` best: the result is that of a full scan. Votes are weighted by
 the square of the cosine, with a prior for texts without terms; a monotone fit on leave-one-out votes of the sample makes scores of votes.
@@ -32,6 +32,7 @@ LEARN_ROWS = 3_000
 MOST_TERMS = 3_000
 #: Chi-square with one degree of freedom at a probability of 1e-5.
 LEAST_CHI2 = 19.5
+LEAST_LIFT = 1.0
 NEIGHBOURS = 15
 BLOCK = 64
 GRAMS = (4, 5)
@@ -57,10 +58,21 @@ class Model:
     curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def __post_init__(self) -> None:
-        self._automaton = None
+        self._automaton = self._blocks = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_automaton": None}
+        return self.__dict__ | {"_automaton": None, "_blocks": None}
+
+    def _block(self, b: int) -> np.ndarray:
+        """The weights of a block by term and place; its postings spread out once in each worker."""
+        if self._blocks is None:
+            self._blocks = [None] * self.block_max.shape[1]
+        if self._blocks[b] is None:
+            w = np.zeros((len(self.terms), BLOCK), np.float32)
+            for i, row in enumerate(self.postings):
+                w[i, row[b][0]] = row[b][1]
+            self._blocks[b] = w
+        return self._blocks[b]
 
     def vector(self, text: str) -> dict[int, float]:
         """Weights of the terms of a text, with unit norm."""
@@ -86,7 +98,7 @@ class Model:
             for i, x in v.items():
                 rows[i][n // BLOCK].append((n % BLOCK, x))
         self.postings = [[(np.array([p for p, _ in b], np.int64), np.array([x for _, x in b])) for b in r] for r in rows]
-        self.block_max = np.array([[max((x for _, x in b), default=0.0) for b in r] for r in rows]).reshape(len(self.terms), blocks)
+        self.block_max = np.array([[np.float32(max((x for _, x in b), default=0.0)) for b in r] for r in rows], float).reshape(len(self.terms), blocks)
 
     def nearest(self, v: dict[int, float], skip: int = -1, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k best examples with a term in common, best first, ties by place."""
@@ -98,10 +110,7 @@ class Model:
         for b in np.argsort(-bound, kind="stable"):
             if bound[b] <= 0 or (len(score) == k and bound[b] < score[-1] - 1e-12):
                 break
-            part = np.zeros(BLOCK)
-            for i, x in zip(ids.tolist(), q.tolist(), strict=True):
-                at, w = self.postings[i][b]
-                part[at] += x * w
+            part = q @ self._block(int(b))[ids]
             if skip // BLOCK == b and skip >= 0:
                 part[skip % BLOCK] = 0
             some = np.flatnonzero(part > 0)
@@ -150,7 +159,7 @@ def fit(rows: list[tuple], totals: dict[int, int]) -> Model:
         c, d = n[1] - a, n[0] - b
         spread = float((a + b) * (c + d) * (a + c) * (b + d))
         chi2 = (a + b + c + d) * (a * d - b * c) ** 2 / spread if spread else 0.0
-        if chi2 >= LEAST_CHI2 and a * n[0] > b * n[1]:
+        if chi2 >= LEAST_CHI2 and a * n[0] > LEAST_LIFT * b * n[1]:
             chosen.append((-chi2, g))
     terms = [g for _, g in sorted(chosen)[:MOST_TERMS]]
     total = len(rows)
