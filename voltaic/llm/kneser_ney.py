@@ -76,16 +76,25 @@ def run_counts(trusted: DataFrame, table: np.ndarray, text: str = "text") -> Dat
     shared = trusted.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SYMBOLS**ORDER, np.int64)
+        at, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+
+        def merge() -> None:
+            nonlocal at, counts
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            at, where = np.unique(np.concatenate([at, found]), return_inverse=True)
+            counts = np.bincount(where, np.concatenate([counts, n])).astype(np.int64)  # exact below 2**53
+
         for whole in batches:
             for b in slices(whole, 64):
-                codes = np.concatenate([_codes(t, shared.value) for t in b.column(text).to_pylist()])
-                at, n = np.unique(codes, return_counts=True)
-                counts[at] += n
-        at = np.flatnonzero(counts)
-        for i in range(0, len(at), 100_000):
-            part = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], names=["code", "c"])
+                held += [_codes(t, shared.value) for t in b.column(text).to_pylist()]
+                if sum(map(len, held)) > 500_000:
+                    merge()
+        if held:
+            merge()
+        for i in range(0, len(at), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 10_000]), pa.array(counts[i : i + 10_000])], names=["code", "c"])
 
     return small_batches(trusted).select(text).mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
@@ -138,11 +147,15 @@ class Model:
 
     def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
         if self._dense is None:
-            top, rest = np.zeros(SYMBOLS**ORDER, np.float32), np.ones(SYMBOLS ** (ORDER - 1), np.float32)
-            top[self.code], rest[self.ctx] = self.p, self.g
-            self._dense = top, rest
-        top, rest = self._dense
-        return np.log((top[codes] + rest[codes >> 6] * self.lower[codes % len(self.lower)]).astype(np.float64))
+            # A row for each context that was met; the last one, of zeros, stands for all others.
+            row, rest = np.full(SYMBOLS ** (ORDER - 1), len(self.ctx), np.int32), np.ones(SYMBOLS ** (ORDER - 1), np.float32)
+            row[self.ctx], rest[self.ctx] = np.arange(len(self.ctx)), self.g
+            top = np.zeros((len(self.ctx) + 1, SYMBOLS), np.float32)
+            top[row[self.code >> 6], self.code & 63] = self.p
+            self._dense = row, top, rest
+        row, top, rest = self._dense
+        ctx = codes >> 6
+        return np.log((top[row[ctx], codes & 63] + rest[ctx] * self.lower[codes % len(self.lower)]).astype(np.float64))
 
     def perplexity(self, text: str | None) -> tuple[int, float | None]:
         codes = _codes(text, self.table)
