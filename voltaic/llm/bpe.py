@@ -93,7 +93,7 @@ class Encoder:
     stop, is one piece of the pattern (or two) and goes to the library's BPE model at once; other new units go through its whole encoder.
     """
 
-    #: Units remembered by each Python worker; later new ones are encoded again in each batch.
+    #: Units remembered by each Python worker; beyond that, only those of the latest batch stay.
     REMEMBERED = 150_000
 
     def __init__(self, path: str):
@@ -170,7 +170,10 @@ class Encoder:
         found = [known.get(u) for u in units]
         extra = self._new([u for u, ids in zip(units, found, strict=True) if ids is None])
         found = [ids if ids is not None else extra[u] for u, ids in zip(units, found, strict=True)]
-        if len(known) < self.REMEMBERED:
+        if len(known) + len(extra) > self.REMEMBERED:
+            known.clear()
+            known.update(zip(units[: self.REMEMBERED], found, strict=False))
+        else:
             known.update(extra)
         # Every unit's ids stand in one array; a text's ids are gathered from it.
         sizes = np.fromiter((len(x) >> 2 for x in found), np.int64, len(found))
