@@ -4,15 +4,15 @@
 reversed byte table. A null text counts as an empty one and gives no ids. Rows keep all their columns, repeated rows included; an output
 column replaces an input column of the same name.
 
-A text is cut at white space before it reaches the library, so that a word that was met before costs one look-up. The cuts lie only where
-the pattern of the vocabulary cuts as well: before a single space or line break between two visible characters. Texts with other white
-space go to the library whole. Either way the ids are those of the whole text.
+A text is cut before it reaches the library, so that a word that was met before costs one look-up. The cuts lie only where the pattern of
+the vocabulary cuts as well: before a single space and around a single line break between two visible characters, and between a letter and a
+comma or full stop. Texts with other white space go to the library whole. Either way the ids are those of the whole text.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -86,14 +86,18 @@ _IRREGULAR = (
 )
 
 
+#: Letters on which all readers of Unicode agree, for use inside of brackets.
+_LETTERS = "A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{24f}"
+
+
 class Encoder:
     """Encodes texts into ids, with a bounded memory of words it has met.
 
-    A unit is a word with the space or line break before it. Equal units of a batch are looked up once. A new unit of letters, or of letters and a final
-    stop, is one piece of the pattern (or two) and goes to the library's BPE model at once; other new units go through its whole encoder.
+    A unit is a word with the space before it, a line break, or what follows a word from a comma or full stop on. Equal units of a batch are looked up
+    once. A new unit of letters is one piece of the pattern and goes to the library's BPE model at once; other new units go through its whole encoder.
     """
 
-    #: Units remembered by each Python worker; beyond that, only those of the latest batch stay.
+    #: Units remembered by each Python worker; beyond that, only those of the latest batch stay, first those met before.
     REMEMBERED = 150_000
 
     def __init__(self, path: str):
@@ -102,9 +106,9 @@ class Encoder:
         self.spelling = {i: c for i, c in enumerate(byte_characters()) if i != 10}
         self.known: dict[str, bytes] = {}
         self.line_break = self._whole(["\n"])[0]
-        probe = "\n".join(["a", " a", " b"])
-        if len(self.line_break) != 4 or self._whole([probe])[0].split(self.line_break) != self._whole(["a", " a", " b"]):
-            self.line_break = b""  # a vocabulary whose line break isn't a token of its own
+        units = ["a", ",", " a", ".b", "\n", "b", "."]
+        if len(self.line_break) != 4 or self._whole(["".join(units)])[0] != b"".join(self._whole(units)):
+            self.line_break = b""  # a vocabulary whose line break isn't a token of its own, or with another pattern
 
     def _whole(self, batch: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
@@ -123,68 +127,62 @@ class Encoder:
         raw = np.array(ids, "<u4").tobytes()
         return [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)]
 
-    def _new(self, units: list[str]) -> dict[str, bytes]:
-        """The ids of units not met before."""
-        out: dict[str, bytes] = {}
-        rest, plain, stems = [], [], set()
-        for u in units:
-            body = u[1:] if u[0] == "\n" else u
-            stop = body[-1] if body[-1] in ",." else ""
-            stem = body[:-1] if stop else body
-            letters = stem.lstrip(" ")
-            if letters.isalpha() and max(letters) < "ɐ":
-                plain.append((u, stem, stop))
-                stems.add(stem)
-            else:
-                rest.append(u)
-        stems.update((",", "."))
-        known = self.known
-        fresh = [x for x in stems if x not in known]
-        out.update(zip(fresh, self._pieces(fresh), strict=True))
-        for u, stem, stop in plain:
-            ids = out[stem] if stem in out else known[stem]
-            if stop:
-                ids += out[stop] if stop in out else known[stop]
-            out[u] = self.line_break + ids if u[0] == "\n" else ids
-        for i in range(0, len(rest), 20_000):
-            part = rest[i : i + 20_000]
-            ids = np.frombuffer(self._whole(["\n".join([u[1:] if u[0] == "\n" else u for u in part])])[0], "<u4")
+    def _others(self, units: list[str]) -> list[bytes]:
+        """The ids of units without line breaks, through the whole encoder."""
+        out: list[bytes] = []
+        for i in range(0, len(units), 20_000):
+            part = units[i : i + 20_000]
+            ids = np.frombuffer(self._whole(["\n".join(part)])[0], "<u4")
             ends = np.append(np.flatnonzero(ids == int.from_bytes(self.line_break, "little")), len(ids))
             assert len(ends) == len(part)
             raw, start = ids.tobytes(), 0
-            for u, end in zip(part, (ends * 4).tolist(), strict=True):
-                out[u] = self.line_break + raw[start:end] if u[0] == "\n" else raw[start:end]
+            for end in (ends * 4).tolist():
+                out.append(raw[start:end])
                 start = end + 4
         return out
 
+    def _found(self, distinct: pa.Array) -> list[bytes]:
+        """The ids of distinct units, which are remembered."""
+        units = distinct.to_numpy(zero_copy_only=False).tolist()
+        known = self.known
+        known["\n"] = self.line_break
+        found = list(map(known.get, units))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if not new:
+            return found
+        letters = pc.match_substring_regex(distinct.take(pa.array(new)), f"\\A ?[{_LETTERS}]+\\z").to_pylist()
+        for chosen, coder in ((True, self._pieces), (False, self._others)):
+            at = [i for i, x in zip(new, letters, strict=True) if x is chosen]
+            for i, ids in zip(at, coder([units[i] for i in at]), strict=True):
+                found[i] = ids
+        room = self.REMEMBERED - len(known)
+        if len(new) > room:
+            fresh = set(new)
+            held = {units[i]: found[i] for i in range(len(units)) if i not in fresh}
+            known.clear()
+            known.update(held)
+            room = self.REMEMBERED - len(known)
+        known.update((units[i], found[i]) for i in new[: max(room, 0)])
+        return found
+
     def encode(self, batch: pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         odd = pc.match_substring_regex(batch, _IRREGULAR).to_numpy(zero_copy_only=False)
         if not self.line_break or odd.all():
             return self._whole(batch.to_pylist())
-        regular = batch.filter(pa.array(~odd))
-        lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(regular, " ", "\0 "), "\n", "\0\n"), "\0")
+        cut = pc.replace_substring(pc.replace_substring(batch.filter(pa.array(~odd)), "\n", "\0\n\0"), " ", "\0 ")
+        lists = pc.split_pattern(pc.replace_substring_regex(cut, f"([{_LETTERS}])([,.])", "\\1\0\\2"), "\0")
         coded = lists.flatten().dictionary_encode()
-        at, units = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        known = self.known
-        found = [known.get(u) for u in units]
-        extra = self._new([u for u, ids in zip(units, found, strict=True) if ids is None])
-        found = [ids if ids is not None else extra[u] for u, ids in zip(units, found, strict=True)]
-        if len(known) + len(extra) > self.REMEMBERED:
-            known.clear()
-            known.update(zip(units[: self.REMEMBERED], found, strict=False))
-        else:
-            known.update(extra)
-        # Every unit's ids stand in one array; a text's ids are gathered from it.
-        sizes = np.fromiter((len(x) >> 2 for x in found), np.int64, len(found))
-        flat = np.frombuffer(b"".join(found), "<u4")
-        starts = np.cumsum(sizes) - sizes
-        n = sizes[at]
-        ends = np.cumsum(n)
-        place = np.arange(ends[-1]) + np.repeat(starts[at] - (ends - n), n)
-        ids = flat[place].tobytes()
-        cut = np.append(0, ends)[lists.offsets.to_numpy() - lists.offsets[0].as_py()] * 4
-        parts = iter([ids[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)])
+        # Every distinct unit's ids stand in one list; the ids of the texts are taken from these.
+        found = self._found(coded.dictionary)
+        ends = np.zeros(len(found) + 1, np.int32)
+        np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) >> 2, out=ends[1:])
+        table = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<u4")))
+        taken = table.take(coded.indices)
+        raw = memoryview(taken.flatten().to_numpy()).cast("B")
+        starts = taken.offsets.to_numpy().astype(np.int64) - taken.offsets[0].as_py()
+        at = (4 * starts[lists.offsets.to_numpy() - lists.offsets[0].as_py()]).tolist()
+        parts = iter([bytes(raw[i:j]) for i, j in zip(at, at[1:], strict=False)])
         if not odd.any():
             return list(parts)
         whole = iter(self._whole(batch.filter(pa.array(odd)).to_pylist()))
@@ -196,12 +194,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_bytes(column: pa.Array, path: str, at_once: int = 1_024) -> Iterator[bytes]:
+def encode_bytes(column: pa.Array, path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers, null as empty."""
-    own = encoder(path)
-    column = pc.fill_null(column, "")
-    for i in range(0, len(column), at_once):
-        yield from own.encode(column.slice(i, at_once))
+    return encoder(path).encode(pc.fill_null(column, "")) if len(column) else []
 
 
 def decode_ids(ids: np.ndarray, path: str) -> bytes:
@@ -235,6 +230,23 @@ def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, rows)
 
 
+def gathered(batches: Iterable[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``most`` bytes: small ones are put together, so that equal words are looked up less often, and rows of large ones are dealt out."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for whole in batches:
+        step = max(1, whole.num_rows * most // max(1, whole.nbytes))
+        for i in range(0, whole.num_rows, step):
+            b = whole.slice(i, step)
+            held.append(b)
+            size += b.nbytes
+            if size >= most:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
     kept = {n: batch.column(i) for i, n in enumerate(batch.schema.names) if n not in new}
     return pa.RecordBatch.from_arrays([*kept.values(), *new.values()], names=[*kept, *new])
@@ -252,18 +264,17 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", spans
     names = [ids, *(["char_starts", "char_ends"] if spans else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole):
-                parts = list(encode_bytes(b.column(text), path))
-                new = {ids: ids_array(parts)}
-                if spans:
-                    pairs = [character_spans(np.frombuffer(p, "<u4"), path) for p in parts]
-                    for k, name in enumerate(("char_starts", "char_ends")):
-                        new[name] = ids_array([p[k].astype("<u4").tobytes() for p in pairs])
-                if checked:
-                    same = [decode_ids(np.frombuffer(p, "<u4"), path) == t for p, t in zip(parts, texts(b.column(text)), strict=True)]
-                    new[checked] = pa.array(same, pa.bool_())
-                yield with_columns(b, new)
+        for b in gathered(batches):
+            parts = encode_bytes(b.column(text), path)
+            new = {ids: ids_array(parts)}
+            if spans:
+                pairs = [character_spans(np.frombuffer(p, "<u4"), path) for p in parts]
+                for k, name in enumerate(("char_starts", "char_ends")):
+                    new[name] = ids_array([p[k].astype("<u4").tobytes() for p in pairs])
+            if checked:
+                same = [decode_ids(np.frombuffer(p, "<u4"), path) == t for p, t in zip(parts, texts(b.column(text)), strict=True)]
+                new[checked] = pa.array(same, pa.bool_())
+            yield with_columns(b, new)
 
     fields = [T.StructField(n, ints) for n in names] + ([T.StructField(checked, T.BooleanType())] if checked else [])
     return small_batches(df).mapInArrow(run, _extended(df, fields))
@@ -273,12 +284,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     """Add the decoded bytes (binary) of ``ids``; null ids give no bytes. Cast to string where the ids end on a character's end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole):
-                lists = b.column(ids)
-                flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-                raw = [decode_ids(flat[i:j], path) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield with_columns(b, {out: pa.array(raw, pa.binary())})
+        for b in gathered(batches):
+            lists = b.column(ids)
+            flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            raw = [decode_ids(flat[i:j], path) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield with_columns(b, {out: pa.array(raw, pa.binary())})
 
     return df.mapInArrow(run, _extended(df, [T.StructField(out, T.BinaryType())]))
 
@@ -290,15 +300,14 @@ def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     schema = T.StructType([df.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole):
-                parts = list(encode_bytes(b.column(text), path))
-                columns = [
-                    b.column(key),
-                    pa.array([len(p) // 4 for p in parts], pa.int64()),
-                    pa.array([sha256(p).hexdigest() for p in parts], pa.string()),
-                    pa.array([sha256(decode_ids(np.frombuffer(p, "<u4"), path)).hexdigest() for p in parts], pa.string()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        for b in gathered(batches):
+            parts = encode_bytes(b.column(text), path)
+            columns = [
+                b.column(key),
+                pa.array([len(p) // 4 for p in parts], pa.int64()),
+                pa.array([sha256(p).hexdigest() for p in parts], pa.string()),
+                pa.array([sha256(decode_ids(np.frombuffer(p, "<u4"), path)).hexdigest() for p in parts], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return small_batches(df).select(key, text).mapInArrow(run, schema)

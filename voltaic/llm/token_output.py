@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import encode_bytes, ids_array, slices, with_columns
+from .bpe import encode_bytes, gathered, ids_array, with_columns
 from .common import small_batches
 
 ROW_GROUP_BYTES = 32 << 20
@@ -39,11 +39,10 @@ def write_tokens(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole):
-                parts = [p + end for p in encode_bytes(b.column(text), tokenizer)]
-                new = {"n_tokens": pa.array([len(p) // 4 for p in parts], pa.int64()), "ids": ids_array(parts)}
-                yield with_columns(b, new).select(schema.names)
+        for b in gathered(batches):
+            parts = [p + end for p in encode_bytes(b.column(text), tokenizer)]
+            new = {"n_tokens": pa.array([len(p) // 4 for p in parts], pa.int64()), "ids": ids_array(parts)}
+            yield with_columns(b, new).select(schema.names)
 
     ordered = (
         df.select(key, *meta, text).repartitionByRange(F.col(key)).sortWithinPartitions(F.col(key), F.xxhash64(text), F.xxhash64(*meta, F.lit(0)))
