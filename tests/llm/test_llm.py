@@ -330,3 +330,58 @@ def test_empty_tables(empty):
         substring_dedup.repeated_spans(empty), substring_dedup.dedup_texts(empty), quality_rules.assess(empty), quality_rules.keep_good(empty),
     ):
         assert df.count() == 0
+
+
+def brute_trigrams(trusted, text):
+    """Perplexity of a text under interpolated modified Kneser-Ney word trigrams, straight from the formula."""
+    from voltaic.llm.word_model import words as tokens
+
+    seq = lambda t: ["<s>", "<s>", *tokens(t), "</s>"]
+    three = collections.Counter(tuple(s[i : i + 3]) for t in trusted for s in [seq(t)] for i in range(len(s) - 2))
+    two = collections.Counter(g[1:] for g in three)
+    levels = [collections.Counter(g[1:] for g in two), two, three]
+    unseen = 1 / (len(levels[0]) + 1)
+
+    def p(g):
+        if not g:
+            return unseen
+        c = levels[len(g) - 1]
+        n = [sum(x == i for x in c.values()) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] + 2 * n[1] else 0
+        d = [min(float(i), i - (i + 1) * y * n[i] / n[i - 1]) if n[i - 1] else 0.5 for i in (1, 2, 3)]
+        d = [x if x > 0 else 0.5 for x in d]
+        same = [x for k, x in c.items() if k[:-1] == g[:-1]]
+        if not same:
+            return p(g[1:])
+        own = c[g] - d[min(c[g], 3) - 1] if c[g] else 0
+        return own / sum(same) + sum(d[min(x, 3) - 1] for x in same) / sum(same) * p(g[1:])
+
+    s = seq(text)
+    return np.exp(-np.mean([np.log(p(tuple(s[i : i + 3]))) for i in range(len(s) - 2)]))
+
+
+@pytest.mark.parametrize("hot", [100_000, 1])
+def test_quality_is_of_word_trigrams(spark, monkeypatch, hot):
+    from voltaic.llm import word_model
+
+    monkeypatch.setattr(word_model, "HOT", hot)
+    rng = random.Random(9)
+    trusted = [" ".join(rng.choice(["The", "cat", "sat", "on", "a", "mat", "and", "left."]) for _ in range(rng.randrange(3, 25))) for _ in range(25)]
+    other = ["the cat sat on a zebra", "mat mat mat mat", " \n ", "left.", trusted[3]]
+    d = spark.createDataFrame([*enumerate(trusted + other), (3, trusted[3]), (None, "a cat"), (90, ""), (91, None)], "doc_id long, text string").withColumn("lang", F.lit("en")).repartition(3)
+    got = kneser_ney.classify(d, spark.range(25).withColumnRenamed("id", "doc_id")).collect()
+    assert len(got) == 34 and all(r.perplexity is None and not r.kept for r in got if r.doc_id in (90, 91))
+    learnt = [*trusted, trusted[3]]
+    for r in got:
+        if r.doc_id in (*range(0, 25, 6), *range(25, 30), None):
+            assert r.perplexity == pytest.approx(brute_trigrams(learnt, "a cat" if r.doc_id is None else (trusted + other)[r.doc_id]), rel=1e-6)
+
+
+def test_order_of_words_counts_for_quality(spark):
+    text = lambda k: " ".join(f"word{(k + i) % 40} then" for i in range(60))
+    shuffled = text(0).split()
+    random.Random(1).shuffle(shuffled)
+    rows = [(i, text(i), "en") for i in range(60)] + [(100, " ".join(shuffled), "en")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.kept for r in kneser_ney.classify(d, spark.range(50).withColumnRenamed("id", "doc_id")).collect()}
+    assert all(got[i] for i in range(60)) and not got[100]

@@ -1,11 +1,10 @@
 """Quality by an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The model is over characters, lower-cased and mapped to 64 symbols: the commonest characters of the trusted texts, one symbol for all others and one
-for the start of a text. A run of ``ORDER`` symbols is then a number below 2**24, which bounds every table of the model whatever the corpus.
-Runs are counted over all trusted texts, combined within each task, and summed by shards; continuation counts, context totals and the discounts come from
-joins and aggregations of these counts. Each text gets its perplexity (all characters), and is kept if that is at most its language's limit: the
-``QUANTILE`` of the perplexities of the trusted texts in that language, times ``MARGIN``. Languages without trusted text take the
-quantile of all trusted texts. Quantiles are exact for perplexities rounded to a thousandth of their logarithm, and need no language in one task.
+``classify`` scores words (``word_model``): trigrams of all trusted texts in sharded tables that grow with the text, joined with each document's.
+Each text gets its perplexity, and is kept if that is at most its language's limit: the ``QUANTILE`` of the perplexities of trusted texts in that
+language, times ``MARGIN``. A model of words knows its own texts by heart, so the limits are those of one in ``HELD_OUT`` trusted texts under a model of the
+others. Languages without such text take the quantile of all. Quantiles are exact for perplexities rounded to a thousandth of their
+logarithm, and need no language in one task. ``train`` gives a small model over 64 characters, which ``classify`` doesn't use.
 
 Null and empty texts have no perplexity (null) and aren't kept. With no trusted text the model is uniform and has no limit: all other texts are kept.
 A null language is a language of its own. Repeated rows count as often as they occur. The result has the key, ``lang``, ``n_scored`` (long),
@@ -21,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import word_model
 from .bpe import slices
 from .common import small_batches, stored
 
@@ -29,6 +29,8 @@ SYMBOLS = 64
 START, OTHER = 0, 1
 QUANTILE = 0.99
 MARGIN = 1.25
+#: One in so many trusted texts sets the limits, by a model of the others.
+HELD_OUT = 5
 #: Trusted keys up to which they may be broadcast.
 BROADCAST_KEYS = 5_000_000
 _BINS = 1_000.0
@@ -171,20 +173,6 @@ def train(trusted: DataFrame, text: str = "text") -> Model:
     return Model(table, [pull(x) for x in found], [pull(x) for x in left])
 
 
-def perplexities(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Key, language, ``n_scored`` and ``perplexity`` of each text."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, lang string, n_scored long, perplexity double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole):
-                n, p = zip(*map(shared.value.perplexity, b.column(text).to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([b.column(key), b.column(lang), pa.array(n, pa.int64()), pa.array(p, pa.float64())], names=[key, "lang", "n_scored", "perplexity"])
-
-    return small_batches(df).select(key, text, F.col(lang).cast("string").alias(lang)).mapInArrow(run, schema)
-
-
 def limits(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """``lang``, ``threshold`` by language, and a row with ``every`` true for all languages together."""
     bins = scored.where("perplexity is not null").select("lang", F.round(F.ln("perplexity") * _BINS).cast("long").alias("bin")).groupBy("lang", "bin").agg(F.count("*").alias("n"))
@@ -198,10 +186,15 @@ def classify(df: DataFrame, trusted_keys: DataFrame, key: str = "doc_id", text:
     """Perplexity, threshold and verdict of each document; ``trusted_keys`` has the keys of those to learn from."""
     keys = trusted_keys.select(F.col(key).alias("_trusted")).where("_trusted is not null").distinct()
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    trusted = df.join(F.broadcast(keys) if few else keys, df[key] == F.col("_trusted"), "left_semi")
-    model = train(trusted.select(text), text)
-    scored = stored(perplexities(df, model, key, text, lang))
-    own = scored.join(F.broadcast(keys) if few else keys, scored[key] == F.col("_trusted"), "left_semi")
+    of_trusted = lambda t: t.join(F.broadcast(keys) if few else keys, t[key] == F.col("_trusted"), "left_semi")
+    trusted = of_trusted(df).select(F.col(key), text, F.col(lang).alias("lang"), (F.crc32(F.col(key).cast("string")) % HELD_OUT == 0).alias("_held"))
+    counts = stored(word_model.trigram_counts(trusted.select(text, "_held"), text, "_held"))
+    model = word_model.weights(counts.drop("rest"))
+    scored = stored(word_model.perplexities(df, model, key, text, lang))
+    rest = word_model.weights(counts.where("rest > 0").drop("c").withColumnRenamed("rest", "c"))
+    own = stored(word_model.perplexities(trusted.where("_held"), rest, key, text, "lang")) if rest[2] else scored.where("false")
+    if own.where("perplexity is not null").isEmpty():  # too few trusted texts to hold any out
+        own = of_trusted(scored)
     bound = stored(limits(own, quantile, margin).limit(100_000))  # a row per language
     every = bound.where("every").select("threshold").first()
     by_lang = bound.where("not every").select(F.col("lang").alias("_lang"), "threshold")
