@@ -385,3 +385,19 @@ def test_order_of_words_counts_for_quality(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r.doc_id: r.kept for r in kneser_ney.classify(d, spark.range(50).withColumnRenamed("id", "doc_id")).collect()}
     assert all(got[i] for i in range(60)) and not got[100]
+
+
+def test_quality_tells_words_of_every_script_apart(spark):
+    # Over 64 characters, each its own letter; Latin texts hold the commonest places of any short alphabet.
+    han = [chr(0x4E00 + i) for i in range(200)]
+    greek = ["".join(chr(0x3B1 + (i * j) % 24) for j in range(1, 7)) for i in range(1, 40)]
+    latin = [f"{a}{b}{c}" for a in "abcdefghijklmnopqrstuvwxyz0123456789" for b in "aeiou" for c in "xyz,.;:!?"]
+    rng = random.Random(3)
+    good = lambda units, gap: gap.join(units[(k + i) % len(units)] for k in [rng.randrange(len(units))] for i in range(80))
+    rows = [(i, *[(good(han, ""), "zh"), (good(greek, " "), "el"), (" ".join(rng.sample(latin, 400)), "en")][i % 3]) for i in range(150)]
+    junk = lambda units, gap: gap.join(rng.choice(units) for _ in range(80))
+    rows += [(200, junk(han, ""), "zh"), (201, junk(greek, " "), "el"), (300, good(han, ""), "zh"), (301, good(greek, " "), "el")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in kneser_ney.classify(d, spark.range(150).withColumnRenamed("id", "doc_id")).collect()}
+    assert not got[200].kept and not got[201].kept and got[300].kept and got[301].kept
+    assert got[200].n_scored == 81
