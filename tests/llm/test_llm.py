@@ -401,3 +401,11 @@ def test_quality_tells_words_of_every_script_apart(spark):
     got = {r.doc_id: r for r in kneser_ney.classify(d, spark.range(150).withColumnRenamed("id", "doc_id")).collect()}
     assert not got[200].kept and not got[201].kept and got[300].kept and got[301].kept
     assert got[200].n_scored == 81
+
+
+def test_limits_of_any_number_of_languages(spark):
+    n = 100_500
+    scored = spark.range(n).select(F.concat(F.lit("l"), "id").alias("lang"), F.lit(10.0).alias("perplexity"))
+    by_lang, every = kneser_ney.limits(scored)
+    assert by_lang.count() == n and every == pytest.approx(12.5, rel=1e-3)
+    assert kneser_ney.limits(scored.where("false"))[1] is None

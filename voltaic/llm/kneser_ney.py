@@ -173,13 +173,18 @@ def train(trusted: DataFrame, text: str = "text") -> Model:
     return Model(table, [pull(x) for x in found], [pull(x) for x in left])
 
 
-def limits(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """``lang``, ``threshold`` by language, and a row with ``every`` true for all languages together."""
-    bins = scored.where("perplexity is not null").select("lang", F.round(F.ln("perplexity") * _BINS).cast("long").alias("bin")).groupBy("lang", "bin").agg(F.count("*").alias("n"))
-    both = bins.withColumn("every", F.lit(False)).union(bins.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string"), "bin", "n", F.lit(True)))
-    group = Window.partitionBy("every", "lang")
-    ranked = both.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("total", F.sum("n").over(group))
-    return ranked.where(F.col("upto") >= F.col("total") * quantile).groupBy("every", "lang").agg((F.exp(F.min("bin") / _BINS) * margin).alias("threshold"))
+def limits(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> tuple[DataFrame, float | None]:
+    """``lang``, ``threshold`` by language, however many; and the one of all languages together, None without any text."""
+    bins = stored(scored.where("perplexity is not null").select("lang", F.round(F.ln("perplexity") * _BINS).cast("long").alias("bin")).groupBy("lang", "bin").agg(F.count("*").alias("n")))
+
+    def limit(table: DataFrame, *by: str) -> DataFrame:
+        group = Window.partitionBy(*by)
+        ranked = table.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("total", F.sum("n").over(group))
+        return ranked.where(F.col("upto") >= F.col("total") * quantile).groupBy(*by).agg((F.exp(F.min("bin") / _BINS) * margin).alias("threshold"))
+
+    # The bins of a logarithm are few, whatever the languages.
+    every = limit(bins.groupBy("bin").agg(F.sum("n").alias("n"))).first()
+    return limit(bins, "lang"), every["threshold"] if every else None
 
 
 def classify(df: DataFrame, trusted_keys: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
@@ -195,9 +200,8 @@ def classify(df: DataFrame, trusted_keys: DataFrame, key: str = "doc_id", text:
     own = stored(word_model.perplexities(trusted.where("_held"), rest, key, text, "lang")) if rest[2] else scored.where("false")
     if own.where("perplexity is not null").isEmpty():  # too few trusted texts to hold any out
         own = of_trusted(scored)
-    bound = stored(limits(own, quantile, margin).limit(100_000))  # a row per language
-    every = bound.where("every").select("threshold").first()
-    by_lang = bound.where("not every").select(F.col("lang").alias("_lang"), "threshold")
+    by_lang, every = limits(own, quantile, margin)
+    by_lang = by_lang.withColumnRenamed("lang", "_lang")
     joined = scored.join(by_lang, scored["lang"].eqNullSafe(by_lang["_lang"]), "left")
-    limit = F.coalesce("threshold", F.lit(every[0] if every else float("inf")))
+    limit = F.coalesce("threshold", F.lit(float("inf") if every is None else every))
     return joined.select(key, "lang", "n_scored", "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= limit, F.lit(False)).alias("kept"))
