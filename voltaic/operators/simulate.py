@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_HOURS = 6
+PATHS, HOURS = 1_000, 720
 
 
 def chunk_paths(rng: np.random.Generator, size: int, hours: int, x0: float, pi: np.ndarray, p: np.ndarray, theta: np.ndarray, mu: np.ndarray, sigma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,6 +46,13 @@ def simulate(spark: SparkSession, paths: int, hours: int, x0: float, pi, p, thet
     return spark.range(0, chunks, 1, chunks).mapInPandas(run, "traj_id long, hour long, log_lmp double, regime long")
 
 
+def with_fallback(regimes: DataFrame) -> DataFrame:
+    """``label``, ``theta``, ``mu``, ``sigma``: those of a valid fit, or a random walk by the regime's ``mean_lmp`` and ``median_lmp``."""
+    ok = F.coalesce("valid", F.lit(False))
+    walk = {"theta": F.lit(0.0), "mu": F.ln(F.greatest("median_lmp", F.lit(1e-3))), "sigma": F.col("mean_lmp") * 0.02}
+    return regimes.select("label", *[F.when(ok, F.col(c)).otherwise(x).alias(c) for c, x in walk.items()])
+
+
 def summary(paths: DataFrame, x: str = "log_lmp", hour: str = "hour") -> DataFrame:
     """Quantiles of x and of exp(x), mean, population deviation, VaR (5 percent) and CVaR (mean at most VaR) per hour."""
     at = (0.05, 0.25, 0.5, 0.75, 0.95)

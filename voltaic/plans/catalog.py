@@ -618,12 +618,35 @@ def sigma_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- simulation ---------------------------------------------------------------------------------------------------------------
 
 
-@_query()
-def mc_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _regimes(spark: SparkSession, sf_dir: str) -> tuple[list, list[tuple[float, float, float]], np.ndarray, float]:
+    """Regimes; ``theta``, ``mu``, ``sigma`` of each from its fit at one hour (a random walk where there is no valid one); transitions; and the last log price."""
     labels, _, p = markov.as_array(_matrix(spark, sf_dir))
-    k = len(labels)
+    fits = meanrev.ou_parameters(_fits(spark, sf_dir)).where("horizon_h = 1").select(F.col("series").alias("label"), "theta", "mu", "valid")
+    r = A.hourly(spark, sf_dir).select(F.col("series").alias("label"), series.log_return("price", series.order(["series"], ["ts"])).alias("r"))
+    level = A.labels(spark, sf_dir).where("label <> 'error'").groupBy("label").agg(F.avg("value").alias("mean_lmp"), F.percentile("value", F.lit(0.5)).alias("median_lmp"))
+    rows = simulate.with_fallback(level.join(fits, "label", "left").join(meanrev.sigma(r, "r", ["label"]), "label", "left")).collect()  # a row per regime
+    found = {x.label: (x.theta, x.mu, x.sigma) for x in rows}
     x0 = A.hourly(spark, sf_dir).agg(F.max_by(series.log_price("price"), F.struct("ts", "series"))).first()[0]
-    return simulate.simulate(spark, 200, 240, float(x0), markov.stationary(p), p, np.full(k, 0.1), np.full(k, float(x0)), np.full(k, 0.2))
+    return labels, [found[x] for x in labels], p, float(x0)
+
+
+@_query()
+def mc_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, ou, p, x0 = _regimes(spark, sf_dir)
+    theta, mu, sigma = np.array(ou, float).T
+    return simulate.simulate(spark, simulate.PATHS, simulate.HOURS, x0, markov.stationary(p), p, theta, mu, sigma)
+
+
+@_query()
+def mc_paths_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles, VaR and CVaR of the simulated paths by hour."""
+    return simulate.summary(mc_paths(spark, sf_dir))
+
+
+@_query()
+def mc_paths_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the simulated paths in each regime, by hour."""
+    return simulate.regime_frequency(mc_paths(spark, sf_dir), "hour", "regime")
 
 
 _MC = "mc AS (SELECT user_id % 20 AS traj, hour(ts) AS hour, ln(greatest(value, 0.001)) AS x, exp(ln(greatest(value, 0.001))) AS y, event_type FROM events)"
