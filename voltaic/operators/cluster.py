@@ -6,7 +6,10 @@ numbers aren't. A trial holds its points in one task, as any clusterer of this k
 
 from __future__ import annotations
 
+import signal
+import time
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -245,16 +248,46 @@ def grid(spark, **values: Sequence) -> DataFrame:
     return spark.createDataFrame([tuple(x) for x in product(*values.values())], list(values))
 
 
-def run_grid(todo: DataFrame, done: DataFrame | None, keys: Sequence[str], trial: Callable[..., dict], result: str) -> DataFrame:
-    """Run the trials that aren't done yet, each in a task of its own; an error becomes a row with its message in ``status``."""
+def layout_trial(points: np.ndarray, neighbours: int, min_dist: float, least: int, dims: int = 20) -> dict:
+    """Clusters, share of noise and silhouette of the density clusters of a layout."""
+    y = umap(points, neighbours, min_dist, min(dims, points.shape[1]))
+    labels = hdbscan(y, least)
+    return {"n_clusters": len(set(labels.tolist()) - {-1}), "noise": float((labels == -1).mean()), "silhouette": silhouette(y, labels)}
+
+
+@contextmanager
+def time_limit(seconds: float) -> Iterator[None]:
+    """Raise TimeoutError in the task's main thread after so long."""
+
+    def late(*_) -> None:
+        raise TimeoutError(f"over {seconds:g} s")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def run_grid(todo: DataFrame, done: DataFrame | None, keys: Sequence[str], trial: Callable[..., dict], result: str, timeout: float = 480, tries: int = 10, wait: float = 30) -> DataFrame:
+    """Run the trials that aren't done yet, each in a task of its own; an error, or more than ``timeout`` seconds, becomes a row with its message in ``status``.
+    A lost connection is tried again, after ``wait`` seconds more each time; resuming runs again what isn't in ``done``."""
     left = todo.join(done, list(keys), "left_anti") if done is not None else todo
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         args = {k: pdf[k].iloc[0] for k in keys}
-        try:
-            out = trial(**args) | {"status": "ok"}
-        except Exception as error:  # noqa: BLE001  a failed trial is a result
-            out = {"status": f"error: {error}"[:80]}
+        for attempt in range(1, tries + 1):
+            try:
+                with time_limit(timeout):
+                    out = trial(**args) | {"status": "ok"}
+            except Exception as error:  # noqa: BLE001  a failed trial is a result
+                out = {"status": f"error: {error}"[:80]}
+                if isinstance(error, ConnectionError) and attempt < tries:
+                    time.sleep(wait * attempt)
+                    continue
+            break
         return pd.DataFrame([args | out]).reindex(columns=[c.split()[0] for c in result.split(", ")])
 
     return left.groupBy(*keys).applyInPandas(one, result)

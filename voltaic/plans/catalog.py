@@ -462,6 +462,20 @@ def grid_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("n_neighbors", *[F.col(str(c)).alias(f"size_{c}") for c in _GRID["min_cluster_size"]])
 
 
+@_query()
+def grid_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each combination's layout and density clusters of the embeddings, ranked by silhouettes that aren't mostly noise."""
+    points = spark.sparkContext.broadcast(_points(spark, sf_dir)[1])
+
+    def trial(n_neighbors, min_dist, min_cluster_size) -> dict:
+        return cluster.layout_trial(points.value, int(n_neighbors), float(min_dist), int(min_cluster_size))
+
+    result = "n_neighbors long, min_dist string, min_cluster_size long, n_clusters long, noise double, silhouette double, status string"
+    todo = cluster.grid(spark, **_GRID)
+    found = cluster.run_grid(todo.repartition(todo.count(), *_GRID), None, list(_GRID), trial, result).withColumn("score", cluster.gated(F.col("silhouette"), F.col("noise")))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.desc_nulls_last("score"), *_GRID)))  # over one row per combination
+
+
 # --- Markov -------------------------------------------------------------------------------------------------------------------
 
 _PAIR_SQL = f"{A.L}, k AS (SELECT user_id, label AS f, lead(label) OVER w AS t, ts AS a, lead(ts) OVER w AS b FROM l WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), pr AS (SELECT f AS from_label, t AS to_label FROM k WHERE f <> 'error' AND t <> 'error' AND date_diff('second', a, b) <= 360000), lab AS (SELECT DISTINCT label FROM l WHERE label <> 'error'), mat AS (SELECT x.label AS from_label, y.label AS to_label, count(pr.from_label) AS n FROM lab x CROSS JOIN lab y LEFT JOIN pr ON pr.from_label = x.label AND pr.to_label = y.label GROUP BY 1, 2), tm AS (SELECT *, coalesce(n / nullif(sum(n) OVER (PARTITION BY from_label), 0), 0)::DOUBLE AS p FROM mat)"
