@@ -409,3 +409,23 @@ def test_limits_of_any_number_of_languages(spark):
     by_lang, every = kneser_ney.limits(scored)
     assert by_lang.count() == n and every == pytest.approx(12.5, rel=1e-3)
     assert kneser_ney.limits(scored.where("false"))[1] is None
+
+
+def test_toxicity_of_short_and_mixed_words(spark):
+    rng = random.Random(6)
+    table, marks = [], ["zq", "b4d", "x9", "毒物"]
+    for i in range(800):
+        toxic = int(i % 4 == 0)
+        w = [f"wo{rng.choice('abcdefgh')}d{rng.choice('xyz')}" for _ in range(30)]
+        mark = marks[i // 4 % 4]
+        table.append((i, " ".join([*w, f"水{mark}火" if mark == "毒物" else mark, *w[:3]] if toxic else w), toxic))
+    d = spark.createDataFrame([r[:2] for r in table], "doc_id long, text string")
+    m = toxicity.learn(d, spark.createDataFrame([(i, t) for i, _, t in table], "doc_id long, toxic int"), F.col("doc_id") % 3 != 2)
+    got = {r.doc_id: r.score for r in toxicity.toxicity(d, m).collect()}
+    assert all((got[i] >= 0.3) == bool(t) for i, _, t in table)
+
+
+def test_every_tied_term_is_kept():
+    rows = [(i, " ".join(f"{'bad' if i % 2 else 'good'}{j}" for j in range(4_000)), i % 2) for i in range(40)]
+    terms = set(toxicity.fit(rows, {0: 20, 1: 20}).terms)
+    assert {f" {w}{j} " for w in ("bad", "good") for j in range(4_000)} <= terms

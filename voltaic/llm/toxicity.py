@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, weighted votes, calibrated scores and evidence.
 
-Terms are the runs of four and five letters inside of lower-cased words that mark toxic texts: those whose presence depends on the label by a
-chi-square test on the learning sample and that are ``LEAST_LIFT`` times as frequent in toxic texts, at most ``MOST_TERMS`` of them. A text's vector has (1 + ln tf) * idf for each, with unit norm. The
+Terms are whole lower-cased words of any length, digits included, the runs of four and five letters inside of words, and those of one to three characters in
+scripts without spaces: all whose presence depends on the label by a chi-square test on the learning sample. A text's vector has (1 + ln tf) * idf for each, with unit norm. The
 index keeps the examples in blocks; a block's greatest weight of each term bounds the cosine of all its examples, so blocks are scored
 from the highest bound down until none can reach the ``NEIGHBOURS`` best: the result is that of a full scan. Votes are weighted by
 the square of the cosine, with a prior for texts without terms; a monotone fit on leave-one-out votes of the sample makes scores of votes.
@@ -27,22 +27,37 @@ from pyspark.sql import types as T
 
 from .bpe import slices
 from .common import small_batches
+from .word_model import UNSPACED
 
 LEARN_ROWS = 3_000
-MOST_TERMS = 3_000
 #: Chi-square with one degree of freedom at a probability of 1e-5.
 LEAST_CHI2 = 19.5
-LEAST_LIFT = 1.0
 NEIGHBOURS = 15
 BLOCK = 64
 GRAMS = (4, 5)
+SHORT = (1, 2, 3)
 PRIOR_WEIGHT = 0.05
 
-_WORD = re.compile(r"[^\W\d_]{4,}")
+#: Bytes of blocks that a worker keeps spread out.
+_DENSE = 128 << 20
+
+_LETTERS = re.compile(r"[^\W\d_]{4,}")
+_WORD = re.compile(r"\w+")
+_RUN = re.compile(f"[{UNSPACED}]+")
+
+
+def _plain(text: str) -> str:
+    """The words of a text with a space before and after each, so that a whole word is a run of characters like any other."""
+    return f" {' '.join(_WORD.findall(text.lower()))} "
+
+
+def _runs(words: set[str], lengths: tuple[int, ...]) -> set[str]:
+    return {w[i : i + n] for w in words for n in lengths for i in range(len(w) - n + 1)}
 
 
 def _grams(text: str) -> set[str]:
-    return {w[i : i + n] for w in set(_WORD.findall(text.lower())) for n in GRAMS for i in range(len(w) - n + 1)}
+    plain = _plain(text)
+    return {f" {w} " for w in plain.split()} | _runs(set(_LETTERS.findall(plain)), GRAMS) | _runs(set(_RUN.findall(plain)), SHORT)
 
 
 @dataclass
@@ -53,7 +68,7 @@ class Model:
     labels: np.ndarray
     weights: np.ndarray  # rows that an example stands for
     prior: float
-    postings: list[list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)  # by term and block: places in the block and weights
+    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # by block: terms, places in the block and weights
     block_max: np.ndarray | None = None  # by term and block
     curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
@@ -64,15 +79,17 @@ class Model:
         return self.__dict__ | {"_automaton": None, "_blocks": None}
 
     def _block(self, b: int) -> np.ndarray:
-        """The weights of a block by term and place; its postings spread out once in each worker."""
+        """The weights of a block by term and place; its postings spread out once in each worker, or each time if all would take too much."""
         if self._blocks is None:
             self._blocks = [None] * self.block_max.shape[1]
-        if self._blocks[b] is None:
-            w = np.zeros((len(self.terms), BLOCK), np.float32)
-            for i, row in enumerate(self.postings):
-                w[i, row[b][0]] = row[b][1]
+        if self._blocks[b] is not None:
+            return self._blocks[b]
+        w = np.zeros((len(self.terms), BLOCK), np.float32)
+        term, place, weight = self.postings[b]
+        w[term, place] = weight
+        if w.nbytes * len(self._blocks) <= _DENSE:
             self._blocks[b] = w
-        return self._blocks[b]
+        return w
 
     def vector(self, text: str) -> dict[int, float]:
         """Weights of the terms of a text, with unit norm."""
@@ -86,19 +103,19 @@ class Model:
                 self._automaton.make_automaton()
         if not self.terms or not text:
             return {}
-        counts = Counter(i for _, i in self._automaton.iter(text.lower()))
+        counts = Counter(i for _, i in self._automaton.iter(_plain(text)))
         raw = {i: (1 + math.log(c)) * self.idf[i] for i, c in counts.items()}
         norm = math.sqrt(sum(x * x for x in raw.values()))
         return {i: x / norm for i, x in raw.items()}
 
     def index(self, vectors: list[dict[int, float]]) -> None:
         blocks = -(-len(vectors) // BLOCK)
-        rows: list[list[list]] = [[[] for _ in range(blocks)] for _ in self.terms]
-        for n, v in enumerate(vectors):
-            for i, x in v.items():
-                rows[i][n // BLOCK].append((n % BLOCK, x))
-        self.postings = [[(np.array([p for p, _ in b], np.int64), np.array([x for _, x in b])) for b in r] for r in rows]
-        self.block_max = np.array([[np.float32(max((x for _, x in b), default=0.0)) for b in r] for r in rows], float).reshape(len(self.terms), blocks)
+        self.postings, self.block_max = [], np.zeros((len(self.terms), blocks))
+        for b in range(blocks):
+            found = [(i, n, x) for n, v in enumerate(vectors[b * BLOCK : (b + 1) * BLOCK]) for i, x in v.items()]
+            term, place, weight = (np.array(c, kind) for c, kind in zip(zip(*found, strict=True), (np.int64, np.int64, np.float32), strict=True))
+            self.postings.append((term, place, weight))
+            np.maximum.at(self.block_max[:, b], term, weight)
 
     def nearest(self, v: dict[int, float], skip: int = -1, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k best examples with a term in common, best first, ties by place."""
@@ -159,9 +176,9 @@ def fit(rows: list[tuple], totals: dict[int, int]) -> Model:
         c, d = n[1] - a, n[0] - b
         spread = float((a + b) * (c + d) * (a + c) * (b + d))
         chi2 = (a + b + c + d) * (a * d - b * c) ** 2 / spread if spread else 0.0
-        if chi2 >= LEAST_CHI2 and a * n[0] > LEAST_LIFT * b * n[1]:
+        if chi2 >= LEAST_CHI2:
             chosen.append((-chi2, g))
-    terms = [g for _, g in sorted(chosen)[:MOST_TERMS]]
+    terms = [g for _, g in sorted(chosen)]
     total = len(rows)
     idf = np.array([math.log((1 + total) / (1 + df[0][g] + df[1][g])) + 1 for g in terms])
     model = Model(terms, idf, [], np.zeros(0), np.zeros(0), rate)

@@ -25,8 +25,8 @@ HOT = 100_000
 #: Positions counted together in a task.
 HELD = 1_000_000
 #: Scripts without spaces between words (Thai to Myanmar, Khmer, Han with its radicals, kana): each character is a word.
-_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
-_WORD = re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+|[^\w\s{_UNSPACED}]+")
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+|[^\w\s{UNSPACED}]+")
 _ENDS = word_hashes([b" start", b" end"])  # no word has a space
 
 
