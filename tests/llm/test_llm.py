@@ -429,3 +429,10 @@ def test_every_tied_term_is_kept():
     rows = [(i, " ".join(f"{'bad' if i % 2 else 'good'}{j}" for j in range(4_000)), i % 2) for i in range(40)]
     terms = set(toxicity.fit(rows, {0: 20, 1: 20}).terms)
     assert {f" {w}{j} " for w in ("bad", "good") for j in range(4_000)} <= terms
+
+
+def test_repeats_are_sought_only_in_documents_that_are_left(docs):
+    order = ["few_words", "symbols", "repeats", "long_words", "duplicate_lines", "capitals"]
+    plan = quality_rules.keep_good(docs, order=order)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    last = max(i for i, line in enumerate(plan) if "xxhash64" in line)
+    assert any("Filter" in line for line in plan[last + 1 :])

@@ -114,8 +114,12 @@ def rules() -> list[Rule]:
 BASE = ("few_words", "repeats")
 
 
+def _split(df: DataFrame, text: str) -> DataFrame:
+    return df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_words", words_of("_text"))
+
+
 def _prepared(df: DataFrame, text: str) -> DataFrame:
-    return _with_repeats(df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_words", words_of("_text")))
+    return _with_repeats(_split(df, text))
 
 
 def plan_cascade(df: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
@@ -164,8 +168,13 @@ def assess(df: DataFrame, text: str = "text", order: list[str] | None = None) ->
 def keep_good(df: DataFrame, text: str = "text", order: list[str] | None = None) -> DataFrame:
     """The documents that no rule rejects, with their columns as they are."""
     order = order or plan_cascade(df, text)
-    good = _prepared(df, text).select(*df.columns, F.inline(F.array(F.struct(verdict(order).alias("_kept")))))
-    return good.where("_kept").drop("_kept")
+    pass_ = lambda t, columns, names: t.select(*columns, F.inline(F.array(F.struct(verdict(names).alias("_kept"))))).where("_kept").drop("_kept")
+    at = order.index("repeats") if "repeats" in order else len(order)
+    good = _split(df, text)
+    if at:
+        good = pass_(good, [*df.columns, "_text", "_words"], order[:at])
+    # The repeats rule needs arrays of its own, which are built only for documents that the rules before it let pass.
+    return pass_(_with_repeats(good), df.columns, order[at:]) if at < len(order) else good.select(*df.columns)
 
 
 #: The same for DuckDB, over ``documents``.
