@@ -6,12 +6,13 @@ column replaces an input column of the same name.
 
 A text is cut before it reaches the library, so that a word that was met before costs one look-up. The cuts lie only where the pattern of
 the vocabulary cuts as well: before a single space and around a single line break between two visible characters, and between a letter and a
-comma or full stop. Texts with other white space go to the library whole. Either way the ids are those of the whole text.
+comma or full stop. Texts with other white space, or with the string of an added token, go to the library whole. Either way the ids are those of the whole text.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -46,13 +47,16 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 
 
 @lru_cache(maxsize=4)
-def load(path: str):
-    """A tokenizer of the tokenizers library from its own JSON file or from a rank file (.tiktoken)."""
+def load(path: str, literal: bool = False):
+    """A tokenizer of the tokenizers library from its own JSON file or from a rank file (.tiktoken, which has no special tokens).
+
+    A special token's string in a text is that token, as the library has it; with ``literal`` it is ordinary text.
+    """
     from tokenizers import Tokenizer, models, pre_tokenizers
 
     if not path.endswith(".tiktoken"):
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        t.encode_special_tokens = literal
         return t
     ranks, letters = read_ranks(path), byte_characters()
     spell = lambda token: "".join(letters[b] for b in token)
@@ -99,9 +103,13 @@ class Encoder:
 
     #: Units remembered by each Python worker; beyond that, only those of the latest batch stay, first those met before.
     REMEMBERED = 150_000
+    #: Characters of a unit that is remembered at most.
+    LONGEST = 256
 
-    def __init__(self, path: str):
-        self.tokenizer = load(path)
+    def __init__(self, path: str, literal: bool = False):
+        self.tokenizer = load(path, literal)
+        added = [] if literal else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.irregular = "|".join([_IRREGULAR, *map(re.escape, added)])
         self.model = self.tokenizer.model
         self.spelling = {i: c for i, c in enumerate(byte_characters()) if i != 10}
         self.known: dict[str, bytes] = {}
@@ -158,16 +166,16 @@ class Encoder:
         room = self.REMEMBERED - len(known)
         if len(new) > room:
             fresh = set(new)
-            held = {units[i]: found[i] for i in range(len(units)) if i not in fresh}
+            held = {units[i]: found[i] for i in range(len(units)) if i not in fresh and len(units[i]) <= self.LONGEST}
             known.clear()
             known.update(held)
             room = self.REMEMBERED - len(known)
-        known.update((units[i], found[i]) for i in new[: max(room, 0)])
+        known.update((units[i], found[i]) for i in new[: max(room, 0)] if len(units[i]) <= self.LONGEST)
         return found
 
     def encode(self, batch: pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        odd = pc.match_substring_regex(batch, _IRREGULAR).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(batch, self.irregular).to_numpy(zero_copy_only=False)
         if not self.line_break or odd.all():
             return self._whole(batch.to_pylist())
         cut = pc.replace_substring(pc.replace_substring(batch.filter(pa.array(~odd)), "\n", "\0\n\0"), " ", "\0 ")
@@ -190,13 +198,13 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, literal: bool = False) -> Encoder:
+    return Encoder(path, literal)
 
 
-def encode_bytes(column: pa.Array, path: str) -> list[bytes]:
+def encode_bytes(column: pa.Array, path: str, literal: bool = False) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers, null as empty."""
-    return encoder(path).encode(pc.fill_null(column, "")) if len(column) else []
+    return encoder(path, literal).encode(pc.fill_null(column, "")) if len(column) else []
 
 
 def decode_ids(ids: np.ndarray, path: str) -> bytes:

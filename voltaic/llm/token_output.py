@@ -4,7 +4,7 @@ Columns of a token table: the key, further metadata columns on request, ``n_toke
 The ids are dictionary encoded, keys and counts delta encoded; row groups and pages are small enough that the page index lets a reader
 fetch the tokens of a few documents, or the metadata of all, alone. A table is a folder of files in key order; rows of a file are in order.
 
-A null text counts as an empty one: its only id is the end id. Null keys come first. Repeated keys stay together, in an order that depends
+A null text counts as an empty one: its only id is the end id. The string of a special token in a text is that token, unless ``literal`` is set. Null keys come first. Repeated keys stay together, in an order that depends
 on their texts alone. Metadata columns may have any name but ``n_tokens`` and ``ids``, which raise an error. An empty table gives an empty one.
 """
 
@@ -28,7 +28,7 @@ PAGE_ROWS = 2_000
 
 
 def write_tokens(
-    df: DataFrame, path: str, tokenizer: str, end_id: int | None = None, key: str = "doc_id", text: str = "text", meta: tuple[str, ...] = ()
+    df: DataFrame, path: str, tokenizer: str, end_id: int | None = None, key: str = "doc_id", text: str = "text", meta: tuple[str, ...] = (), literal: bool = False
 ) -> None:
     """Encode whole texts and write them as a token table. One shuffle of the texts by ranges of the key; the ids go straight to the files."""
     if clash := {"n_tokens", "ids"} & {key, *meta}:
@@ -40,7 +40,7 @@ def write_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in gathered(batches):
-            parts = [p + end for p in encode_bytes(b.column(text), tokenizer)]
+            parts = [p + end for p in encode_bytes(b.column(text), tokenizer, literal)]
             new = {"n_tokens": pa.array([len(p) // 4 for p in parts], pa.int64()), "ids": ids_array(parts)}
             yield with_columns(b, new).select(schema.names)
 
