@@ -26,7 +26,11 @@ from .common import small_batches, texts
 class Automaton:
     """Counts greedy longest-match tokens of words over a vocabulary of byte strings."""
 
+    #: Words up to which each is walked on its own.
+    FEW = 16
+
     def __init__(self, vocabulary: list[bytes]):
+        self._plain = None
         children: list[dict[int, int]] = [{}]
         final = [False]
         for token in sorted(set(vocabulary) - {b""}):
@@ -106,12 +110,14 @@ class Automaton:
         state, lost = np.zeros(len(words), np.int64), np.zeros(len(words), bool)
         active = int((sizes > 0).sum())
         step = 0
-        while active:
+        while active > self.FEW:
             who = order[:active]
             byte = flat[starts[who] + step].astype(np.int64)
             self._advance(state, total, lost, who, byte)
             step += 1
             active = int(np.searchsorted(-sizes[order], -step, side="left"))
+        for i in order[:active].tolist():  # few long words: stepping through them together would cost more than it saves
+            self._walk(i, flat[starts[i] + step : starts[i] + sizes[i]].tobytes(), state, total, lost)
         who = np.arange(len(words))
         while len(who := who[(state[who] > 0) & ~lost[who]]):  # what is left at the end is popped alike
             at = state[who]
@@ -120,6 +126,28 @@ class Automaton:
             lost[who[state[who] < 0]] = True
         return np.where(lost, 1, total)
 
+    def _walk(self, i: int, rest: bytes, state: np.ndarray, total: np.ndarray, lost: np.ndarray) -> None:
+        """The rest of one word, byte by byte."""
+        if lost[i]:
+            return
+        if self._plain is None:
+            self._plain = [memoryview(a) for a in (self.base, self.check, self.target, self.fail, self.popped)]
+        base, check, target, fail, popped = self._plain
+        at, n = int(state[i]), 0
+        for byte in rest:
+            while check[slot := base[at] + byte] != at:
+                n += popped[at]
+                at = fail[at]
+                if at < 0:
+                    lost[i] = True
+                    return
+            at = target[slot]
+        state[i] = at
+        total[i] += n
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_plain": None}
+
     def _advance(self, state: np.ndarray, total: np.ndarray, lost: np.ndarray, who: np.ndarray, byte: np.ndarray) -> None:
         while len(who):
             at = state[who]
@@ -145,6 +173,8 @@ class Counter:
     """Counts by word, with a bounded memory of words met before."""
 
     REMEMBERED = 400_000
+    #: Bytes of a word that is remembered at most.
+    LONGEST = 256
 
     def __init__(self, automaton: Automaton, prefix: bytes):
         self.automaton, self.prefix, self.known = automaton, prefix, {}
@@ -153,13 +183,10 @@ class Counter:
         split = [t.split() for t in batch]
         known = self.known
         new = list({w for ws in split for w in ws if w not in known})
-        counts = zip(new, self.automaton.count([self.prefix + w for w in new]).tolist(), strict=True)
+        extra = dict(zip(new, self.automaton.count([self.prefix + w for w in new]).tolist(), strict=True))
+        get = lambda w: known[w] if w in known else extra[w]
         if len(known) < self.REMEMBERED:
-            known.update(counts)
-            get = known.__getitem__
-        else:
-            extra = dict(counts)
-            get = lambda w: known[w] if w in known else extra[w]
+            known.update((w, n) for w, n in extra.items() if len(w) <= self.LONGEST)
         return [len(ws) for ws in split], [sum(map(get, ws)) for ws in split]
 
 
