@@ -301,7 +301,8 @@ def repeated_spans(
 
 
 def dedup_texts(docs: DataFrame, text: str = "text", window: int = 35) -> DataFrame:
-    """``docs`` with repeated passages cut from the text: words that stay are joined by single spaces. A text that loses no word stays as it is."""
+    """``docs`` with repeated passages cut from the text: words that stay are joined by single spaces. A text that loses no word stays as it is, a null one null."""
     names = {c: f"_{i}" for i, c in enumerate(docs.columns) if c != text}
-    out = repeated_spans(docs.withColumnsRenamed(names), text, window, texts_too=True)
-    return out.select(*names.values(), F.col("kept").alias(text)).withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)
+    known = f"_{len(docs.columns)}"
+    out = repeated_spans(docs.withColumnsRenamed(names).withColumn(known, F.col(text).isNotNull()), text, window, texts_too=True)
+    return out.select(*names.values(), F.when(F.col(known), F.col("kept")).alias(text)).withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)
