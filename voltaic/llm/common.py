@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +18,13 @@ _U = np.uint64
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``). Where none is set, a temporary one serves a session whose tasks run in this
+    machine's own process; on a cluster other machines wouldn't see it, so that raises an error."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="voltaic-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
@@ -42,6 +45,64 @@ def stored(df: DataFrame, **options: object) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def light(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether all rows of a table (a stored one, as it is counted) take at most so many bytes in memory."""
+    wide = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    one = sum(wide, F.lit(32 + 16 * len(df.columns)))
+    return (df.agg(F.sum(one.cast("long"))).first()[0] or 0) <= most
+
+
+def few(df: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it is ``light``; else Spark chooses the join."""
+    return F.broadcast(df) if light(df) else df
+
+
+#: Longs of a Bloom filter: least and most (2 MB), whatever the number of hashes; a fuller one only lets more pass.
+BLOOM_LEAST, BLOOM_MOST = 1 << 10, 1 << 18
+
+
+def bloom_filter(hashes: DataFrame) -> np.ndarray:
+    """The words of a Bloom filter of the one column of a stored table of distinct 64-bit hashes, with 16 bits for each, or as many as there may be."""
+    (name,) = hashes.columns
+    size = BLOOM_LEAST
+    n = hashes.count()
+    while size < BLOOM_MOST and size * 4 < n:
+        size *= 2
+    bit = hashes.select(F.explode(F.array(*bloom_places(F.col(name), size))).alias("b"))
+    word = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(63).cast("int")))
+    t = bit.groupBy(F.shiftright("b", 6).alias("i")).agg(word.alias("x")).toArrow()  # of bounded size
+    words = np.zeros(size, np.int64)
+    words[t.column("i").to_numpy()] = t.column("x").to_numpy()
+    return words
+
+
+def bloom_places(h: Column, longs: int) -> list[Column]:
+    """Two bits of a hash in a filter of so many longs (a power of two)."""
+    most = F.lit(longs * 64 - 1).cast("long")
+    return [h.bitwiseAND(most), F.shiftrightunsigned(h, 32).bitwiseAND(most)]
+
+
+def bloom_has(words: np.ndarray) -> Callable[[Column], Column]:
+    """A condition on a hash column, with the filter as a constant."""
+    table = F.split(F.lit(",".join(map(str, words.tolist()))), ",").cast("array<bigint>")  # folded to a constant
+    has = lambda b: F.call_function("getbit", F.get(table, F.shiftright(b, 6).cast("int")), b.bitwiseAND(63).cast("int")) == 1
+    return lambda h: has(bloom_places(h, len(words))[0]) & has(bloom_places(h, len(words))[1])
+
+
+def bloom_test(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The same over an array."""
+    h, bits = h.view(np.uint64), words.view(np.uint64)
+    most = _U(len(words) * 64 - 1)
+    out = np.ones(len(h), bool)
+    for b in (h & most, (h >> _U(32)) & most):
+        out &= (bits[(b >> _U(6)).astype(np.int64)] >> (b & _U(63)) & _U(1)) > 0
+    return out
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """Bound the Arrow batches of the session, so that a batch of very long texts fits in a Python worker. Returns the table as it is."""
     conf = df.sparkSession.conf

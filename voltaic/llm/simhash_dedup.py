@@ -3,10 +3,10 @@
 A document's fingerprint has a bit set where more than half of the hashes of its word shingles (repeats included) have it. Distinct
 fingerprints within ``radius`` differing bits are linked, and documents are grouped by the components of these links.
 
-The index is cut over the cluster first: the bits fall into ``radius + 1`` blocks, and two fingerprints within the radius agree in one of
-them at least, so each block's value is a partition in which all links of its members can be found. In a partition, fingerprints are sorted
-by Gray rank; each upper node stands for a run of them and keeps the bits that they share. A pair of nodes whose shared bits differ in more
-than ``radius`` places is dropped with all that lies below; otherwise its children are paired. Only links that join two groups are returned, less than
+The index is cut over the cluster first: the bits fall into ``radius + 2`` blocks, and two fingerprints within the radius agree in two of
+them at least, so the values of each pair of blocks are a partition in which all links of its members can be found (15 partitions of 21 bits each for a radius of 4).
+In a partition, fingerprints are sorted by Gray rank; each upper node stands for a run of them and keeps the bits that they share. A pair of nodes whose shared
+bits differ in more than ``radius`` places is dropped with all that lies below; otherwise its children are paired. Only links that join two groups are returned, less than
 one for each fingerprint and partition, whatever the number of pairs. A partition with more than ``CHUNK`` fingerprints is dealt into chunks, and
 each pair of chunks is searched by a task of its own.
 
@@ -17,7 +17,7 @@ key and the text are read; the result has the key, ``fingerprint`` (long) and th
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -102,11 +102,18 @@ def _levels(group: np.ndarray, values: np.ndarray) -> list[tuple[np.ndarray, np.
 
 
 def local_links(
-    group: np.ndarray, values: np.ndarray, radius: int, side: np.ndarray | None = None, check: np.ndarray | None = None, check_radius: int = 64
+    group: np.ndarray,
+    values: np.ndarray,
+    radius: int,
+    side: np.ndarray | None = None,
+    check: np.ndarray | None = None,
+    check_radius: int = 64,
+    joined: list[tuple[np.ndarray, np.ndarray]] | None = None,
 ) -> np.ndarray:
     """For values sorted by (group, Gray rank): the index of the first of each one's component among the links of its own group.
 
     ``side``: only pairs of different sides are looked for, where a group has both. ``check``: further fingerprints, which must be near as well.
+    ``joined`` gets the near pairs that join two groups, which are a forest: of those that a value could be joined by, the nearest in order.
     """
     label = np.arange(len(values))
     levels = _levels(group, values)
@@ -114,13 +121,6 @@ def local_links(
     roots = np.arange(len(levels[top][0]))
     todo = [(top, roots, roots)]
 
-    def root(x: np.ndarray) -> np.ndarray:
-        while True:
-            y = label[x]
-            if (y == x).all():
-                return x
-            x = y
-
     while todo:
         level, a, b = todo.pop()
         most = PAIRS if level == 0 else max(1, PAIRS // (FAN * FAN))
@@ -135,11 +135,19 @@ def local_links(
                 keep &= np.bitwise_count(check[a] ^ check[b]) <= check_radius
             a, b = a[keep], b[keep]
             while len(a):
-                x, y = root(a), root(b)
+                x, y = label[a], label[b]
                 apart = x != y
-                a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-                if len(a):
-                    np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+                a, b = a[apart], b[apart]
+                high, low = np.maximum(x, y)[apart], np.minimum(x, y)[apart]
+                if not len(a):
+                    break
+                order = np.lexsort((-low, high))
+                new = order[np.append(True, high[order][1:] != high[order][:-1])]
+                label[high[new]] = low[new]
+                if joined is not None:
+                    joined.append((a[new], b[new]))
+                while ((up := label[label]) != label).any():
+                    label = up
             continue
         # Children of each pair of nodes, the pairs of a node with itself once.
         first = levels[level][2]
@@ -152,7 +160,7 @@ def local_links(
         keep = (np.bitwise_count((pattern[x] ^ pattern[y]) & mask[x] & mask[y]) <= radius) & (x <= y)
         if keep.any():
             todo.append((level - 1, x[keep], y[keep]))
-    return root(np.arange(len(values)))
+    return label
 
 
 def least_of(root: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -162,23 +170,13 @@ def least_of(root: np.ndarray, node: np.ndarray) -> np.ndarray:
     return least[root]
 
 
-def hamming_links(nodes: DataFrame, radius: int, bits: int = 64, check_radius: int | None = None) -> DataFrame:
-    """Links ``u``, ``v`` between nodes whose components are those of all pairs within ``radius`` differing bits.
+def keyed_links(rows: DataFrame, radius: int, check_radius: int | None = None) -> DataFrame:
+    """Links ``u``, ``v`` between nodes that share a key, whose components are those of all pairs within ``radius`` differing bits.
 
-    ``nodes``: ``node`` (long), ``table`` (int; only fingerprints of one table are compared) and ``f`` (long), one row for each node and table; with ``check_radius`` also
-    ``check`` (long), which must lie within that radius as well.
+    ``rows``: ``k`` (long), ``node`` (long), ``f`` (long); with ``check_radius`` also ``check`` (long), which must lie within that radius as well, and the links are near
+    pairs themselves. Without it, they lead to the least node of a component, so that most partitions of a large one give the same.
     """
-    cuts = [bits * i // (radius + 1) for i in range(radius + 2)]
-    blocks = F.array(
-        *[
-            F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("f", lo).bitwiseAND((1 << (hi - lo)) - 1).alias("value"))
-            for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))
-        ]
-    )
     also = ["check"] if check_radius is not None else []
-    rows = nodes.select("node", "table", "f", *also, F.explode(blocks).alias("b")).select(
-        ((F.col("table").cast("long") * 256 + F.col("b.block")) * (1 << 40) + F.col("b.value")).alias("k"), "node", "f", *also
-    )
     hot = rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("k", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     dealt = (
         rows.join(hot, "k", "left")
@@ -203,19 +201,34 @@ def hamming_links(nodes: DataFrame, radius: int, bits: int = 64, check_radius: i
                 value, node = t.column("f").to_numpy()[at].view(np.uint64), t.column("node").to_numpy()[at]
                 side = t.column("s").to_numpy(zero_copy_only=False)[at] if mixed else None
                 check = t.column("check").to_numpy()[at].view(np.uint64) if also else None
-                root = local_links(group[at], value, radius, side, check, check_radius or 64)
-                least = least_of(root, node)  # the same in most partitions of a large group, so that most links are equal
-                far = node != least
-                yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(least[far])], names=["u", "v"])
+                joined: list[tuple[np.ndarray, np.ndarray]] | None = [] if also else None
+                root = local_links(group[at], value, radius, side, check, check_radius or 64, joined)
+                if joined is None:
+                    least = least_of(root, node)
+                    far = node != least
+                    u, v = node[far], least[far]
+                else:
+                    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*joined, strict=True) if joined else ((), ())))
+                    u, v = np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(run, "u long, v long")
 
 
+def hamming_links(nodes: DataFrame, radius: int, bits: int = 64) -> DataFrame:
+    """Links ``u``, ``v`` between nodes (``node``, long) whose components are those of all pairs of fingerprints (``f``, long) within ``radius`` differing bits."""
+    cuts = [bits * i // (radius + 2) for i in range(radius + 3)]
+    value = [F.shiftrightunsigned("f", lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    wide = max(hi - lo for lo, hi in zip(cuts, cuts[1:], strict=False))
+    pairs = [F.lit(n).cast("long") * (1 << 2 * wide) + value[a] * (1 << wide) + value[b] for n, (a, b) in enumerate(combinations(range(radius + 2), 2))]
+    return keyed_links(nodes.select(F.explode(F.array(*pairs)).alias("k"), "node", "f"), radius)
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, radius: int = 4) -> DataFrame:
     """Key, ``fingerprint`` (long) and ``component_id`` (the least key of its component) of each document."""
     prints = checkpoint(fingerprints(df, key, text, k))
     distinct = checkpoint(prints.groupBy("fingerprint").agg(F.min(key).alias("least")))
-    roots = connected_components(hamming_links(distinct.select(F.col("fingerprint").alias("node"), F.lit(0).alias("table"), F.col("fingerprint").alias("f")), radius))
+    roots = connected_components(hamming_links(distinct.select(F.col("fingerprint").alias("node"), F.col("fingerprint").alias("f")), radius))
     grouped = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(grouped.join(least, "root").select("fingerprint", "component_id"), "fingerprint").select(key, "fingerprint", "component_id")
