@@ -89,10 +89,16 @@ def test_cut_words_equal_whole_texts():
     rng = random.Random(1)
     letters = "ab C1é漢'st \n\t 　😀-.,  \r\x1c ᠎́​٣"
     fuzz = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(4_000)]
-    for path in (MULTI, JSON):
-        e = bpe.Encoder(path)
+    for path, literal in ((MULTI, False), (JSON, False), (JSON, True)):
+        e = bpe.Encoder(path, literal)
         e.REMEMBERED = 500
-        assert [x for i in range(0, 4_000, 100) for x in e.encode(pa.array(fuzz[i : i + 100]))] == e._whole(fuzz)
+        got = [x for i in range(0, 4_000, 100) for x in e.encode(pa.array(fuzz[i : i + 100]))]
+        assert got == e._whole(fuzz)
+        if path == JSON:
+            t = Tokenizer.from_file(JSON)
+            t.encode_special_tokens = literal
+            assert got == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in fuzz]
+    assert np.frombuffer(bpe.Encoder(JSON).encode(pa.array(["hello <|endoftext|> world"]))[0], "<u4").tolist() == [31373, 220, 50256, 995]
 
 
 def test_token_output(spark, docs, rows, tmp_path):
@@ -101,7 +107,6 @@ def test_token_output(spark, docs, rows, tmp_path):
     path = f"file://{tmp_path}/tokens"
     token_output.write_tokens(docs, path, JSON, 2, meta=("lang",))
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     start, expected = 0, []
     got = sorted(token_output.token_digest(spark, path).collect(), key=lambda r: r.start)
     by_id = collections.defaultdict(list)
@@ -193,6 +198,26 @@ def test_components_of_a_path(spark):
     assert components.connected_components(edges.where("false")).count() == 0
 
 
+def shingles(t, k=5):
+    w = [x.translate(simhash_dedup._LOWER) for x in words(t)]
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def similar(a, b):
+    return bool(a and b) and len(a & b) >= 0.8 * len(a | b)
+
+
+def brute_near(rows):
+    """Keys that stay: the least of each component of similar texts; blank texts all stay, repeated others once."""
+    sets = [shingles(t) for _, t in rows]
+    found = groups(len(rows), lambda a, b: similar(sets[a], sets[b]))
+    least = {}
+    for (i, _), s, g in zip(rows, sets, found):
+        if s:
+            least[g] = min(least.get(g, (True, 0)), (i is None, i or 0))
+    return sorted([(i is None, i or 0) for (i, _), s in zip(rows, sets) if not s] + list(least.values()))
+
+
 def test_near_duplicates_stage(spark, monkeypatch):
     rng = random.Random(2)
     base = [[f"v{rng.randrange(5000)}" for _ in range(200)] for _ in range(12)]
@@ -203,12 +228,45 @@ def test_near_duplicates_stage(spark, monkeypatch):
             for _ in range(e):
                 w[rng.randrange(len(w))] = "zz"
             table.append(" ".join(w))
-    rows = list(enumerate(table)) + [(900, ""), (901, None), (902, "a"), (903, "a"), (903, "a")]
+    # A chain whose ends aren't similar, and texts that share half of their words.
+    line = [f"c{i}" for i in range(400)]
+    table += [" ".join(line[8 * i : 8 * i + 150]) for i in range(12)] + [" ".join(line[:100] + [f"u{i}x{j}" for j in range(80)]) for i in range(12)]
+    rows = list(enumerate(table)) + [(900, ""), (901, None), (902, "a"), (903, "a"), (903, "a"), (904, "\n"), (904, "\n"), (None, "some lonely words here now"), (None, None), (905, table[0])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    df = df.select("doc_id", "text", *[F.lit(1).alias(c) for c in ("key", "h1", "k", "h", "_key", "row", "group", "node")])
     for chunk in (near_dedup.CHUNK, 2):
         monkeypatch.setattr(near_dedup, "CHUNK", chunk)
-        kept = sorted(near_dedup.drop_near_duplicates(df).select("doc_id").toPandas().doc_id)
-        assert kept == [4 * i for i in range(12)] + [900, 901, 902]
+        out = near_dedup.drop_near_duplicates(df)
+        assert out.columns == df.columns
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == brute_near(rows)
+
+
+def test_pairs_that_fall_short_are_linked_through_others():
+    a, b = np.arange(0, 100, dtype=np.uint64), np.arange(20, 120, dtype=np.uint64)
+    middle = np.arange(8, 110, dtype=np.uint64)
+    sets = [a, middle, b, np.arange(1000, 1100, dtype=np.uint64)]
+    assert [near_dedup._similar(sets[i], sets[j]) for i, j in ((0, 1), (1, 2), (0, 2))] == [True, True, False]
+    assert near_dedup._across(sets, np.array([0, 0, 2, 3]), np.array([False, False, True, True])) == [(2, 1)]
+
+
+def test_recall_of_near_duplicates(spark):
+    """Pairs of a similarity just above the least."""
+    rng = random.Random(8)
+    rows, n = [], 300
+    for i in range(n):
+        w = [f"w{rng.randrange(100_000)}" for _ in range(rng.randrange(60, 300))]
+        rows.append((2 * i, " ".join(w)))
+        while True:
+            v = list(w)
+            for _ in range(max(1, round(len(w) * rng.uniform(0.01, 0.024)))):
+                v[rng.randrange(len(v))] = "other"
+            x, y = shingles(" ".join(w)), shingles(" ".join(v))
+            if 0.8 <= len(x & y) / len(x | y) <= 0.85:
+                break
+        rows.append((2 * i + 1, " ".join(v)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in near_dedup.drop_near_duplicates(df).select("doc_id").collect()}
+    assert {2 * i for i in range(n)} <= kept and len(kept) <= n + 0.03 * n
 
 
 def brute_substrings(rows, window=35):
