@@ -321,6 +321,52 @@ def test_decontamination(spark, docs):
     left = decontaminate.clean_documents(d, b)
     assert sorted(left.toPandas().doc_id.dropna()) == [1, 2, 3, 4, 8] and left.columns == d.columns
     assert decontaminate.contaminated(d, b.where("false")).count() == 0 and decontaminate.contaminated(d.where("false"), b).count() == 0
+    # Others with a null key stay, under any names of columns; other names for key and text.
+    more = d.union(spark.createDataFrame([(None, "quite another text of some more words"), (None, None)], d.schema))
+    odd = more.withColumnsRenamed({"doc_id": "item", "text": "r1"}).withColumns({c: F.lit(1) for c in ("row", "h", "w", "doc", "p", "start", "key", "text")})
+    left = decontaminate.clean_documents(odd, b, key="item", text="r1")
+    assert left.columns == odd.columns and sum(r.item is None for r in left.collect()) == 2 and left.count() == 7
+    assert decontaminate.clean_documents(d, b.where("false")).count() == d.count() and decontaminate.clean_documents(d.where("false"), b).count() == 0
+
+
+def test_decontamination_of_many_items_of_one_size(spark):
+    """Brute force over windows and items; many items share a long beginning, which names none of them."""
+    rng = random.Random(4)
+    common = " ".join(f"c{i}" for i in range(14))
+    items = [(i, common + " " + " ".join(f"q{rng.randrange(99999)}" for _ in range(26))) for i in range(10_000)]
+    docs = []
+    for i in range(60):
+        x = rng.choice(items)[1].split()
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            x[rng.randrange(len(x))] = "odd"
+        docs.append((i, " ".join([*(f"z{rng.randrange(99)}" for _ in range(rng.randrange(30))), *x, "tail", common])))
+    docs += [(100 + i, f"{common} and no more of it {i}") for i in range(200)] + [(300, (items[7][1] + " ") * 30)]
+
+    def grams(t):
+        w = t.split()
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+    by_gram = collections.defaultdict(set)
+    own = {i: collections.Counter(grams(t)) for i, t in items}
+    for i, c in own.items():
+        for g in c:
+            by_gram[g].add(i)
+    expected = {}
+    for d, t in docs:
+        g = grams(t)
+        some = collections.Counter(i for x in set(g) if len(by_gram.get(x, ())) < 5 for i in by_gram[x])
+        for i in some:
+            m = 36
+            best = max(((sum((collections.Counter(g[a : a + m]) & own[i]).values()), -a) for a in range(len(g) - m + 1)), default=(0, 0))
+            if best[0] / (2 * m - best[0]) >= 0.8:
+                expected[d, i] = (best[0] / (2 * m - best[0]), -best[1])
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in decontaminate.contaminated(d, b).collect()}
+    near = lambda x: {k: (round(s, 9), w) for k, (s, w) in x.items()}
+    assert near(got) == near(expected) and len(got) > 30
+    # Only texts with a passage of an item of their own name pairs.
+    pairs = decontaminate._matches(d, b, "doc_id", "item_id", "text", 0.8, 20).select("doc", "item").distinct().count()
+    assert pairs == len(got)
 
 
 def test_language_model(spark, docs, empty):
