@@ -307,6 +307,26 @@ def test_quality_rules_match_sql(docs, rows):
     assert one == two == sum(r[-1] for r in expected)
 
 
+def test_quality_rules_under_any_names(docs, rows):
+    odd = docs.withColumns({c: F.lit(1) for c in ("_text", "_words", "_row", "_hashes", "_places", "_kept", "_runs", "_file", "n_symbols")})
+    assert quality_rules.keep_good(odd).columns == odd.columns
+    out = quality_rules.assess(odd).collect()
+    assert len(out) == len(rows) and all(r._text == 1 and r._hashes == 1 and r._row == 1 for r in out)
+    assert any(r.n_symbols != 1 for r in out)
+
+
+def test_the_order_follows_rejections_and_costs(spark, tmp_path):
+    text = ["# " * 20 + "x", "several words of a plain text that no rule has anything against at all"]
+    for k in range(12):
+        rows = [(i, text[k % 2]) for i in range(40)]
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/t")
+    df = spark.read.parquet(f"file://{tmp_path}/t")
+    assert len(quality_rules._spread(df.select("text"))) == 8
+    order = quality_rules.plan_cascade(df, sample_rows=80)
+    assert sorted(order) == [r.name for r in quality_rules.rules()] and order[0] in ("symbols", "repeats")
+    assert quality_rules.keep_good(df, order=order).count() == 240
+
+
 def test_decontamination(spark, docs):
     rng = random.Random(3)
     item = lambda n: " ".join(f"q{rng.randrange(9999)}" for _ in range(n))

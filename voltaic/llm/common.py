@@ -117,7 +117,7 @@ def small_batches(df: DataFrame) -> DataFrame:
 def words_of(text: str | Column) -> Column:
     """The words of a text as an array; null and blank texts give an empty array."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.coalesce(c, F.lit("")), SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(c, F.lit("")), SEPARATORS), "")
 
 
 def texts(column: pa.Array) -> list[bytes]:

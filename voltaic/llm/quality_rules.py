@@ -1,25 +1,29 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-A rule rejects a document by a predicate over its text. ``plan_cascade`` runs each rule over a bounded sample, takes its cost (seconds) and
-selectivity (share rejected), and orders the rules by rejections per cost; ``verdict`` evaluates them in that order and stops at the first
-rejection. The order decides how much work is done, never which documents stay.
+A rule rejects a document by a predicate over its text. ``plan_cascade`` runs each rule over a bounded sample, takes its cost (seconds, warm, without what all
+rules share) and selectivity (share rejected), and orders the rules by rejections per cost; ``verdict`` evaluates them in that order and stops at the first
+rejection. The order decides how much work is done, never which documents stay. The sample is the first rows of up to ``SAMPLE_FILES`` files, evenly spaced; they are
+read as a limit is, a few splits at a time until there are enough, and only the rules' verdicts leave the tasks.
 
 Null and blank texts have no words and fail the base rule, as do texts of any length under ten words. Repeated rows get equal rows. The
-columns of the input stay; a metric replaces an input column of the same name. An empty table gives an empty one, with the rules in order of name.
+columns of the input stay, whatever their names; a metric replaces an input column of the same name. An empty table gives an empty one, with the rules in order of name.
 """
 
 from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, words_of
+from .common import words_of
 
-#: Rows that costs and selectivities are estimated on.
-SAMPLE_ROWS = 2_000
+#: Rows that selectivities are estimated on, from so many files at most; and rows that costs are.
+SAMPLE_ROWS, SAMPLE_FILES = 1_000, 8
+COST_ROWS = 200
 
 #: Limits of the rules.
 LEAST_WORDS = 10
@@ -30,6 +34,7 @@ MOST_SYMBOLS_PERCENT = 30
 MOST_CAPITALS_PERCENT = 40
 MOST_DUPLICATE_LINES_PERCENT = 50
 LONGEST_MEAN_WORD = 20
+NOT_SEPARATOR = r"[^\x20\x09-\x0D]"
 
 
 def n_words(words: Column) -> Column:
@@ -45,7 +50,7 @@ def n_symbols(text: Column) -> Column:
 
 
 def lines_with_words(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: F.length(F.regexp_replace(x, SEPARATORS, "")) > 0)
+    return F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(NOT_SEPARATOR)))
 
 
 def n_dup_lines(text: Column) -> Column:
@@ -54,17 +59,12 @@ def n_dup_lines(text: Column) -> Column:
     return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
-def window_hashes(words: Column, window: int = REPEAT_WINDOW) -> Column:
-    """A hash of each run of ``window`` words."""
-    at = F.sequence(F.lit(0), F.greatest(F.size(words) - window, F.lit(0)))
-    runs = F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(window)]))
-    return F.when(F.size(words) >= window, runs).otherwise(F.array().cast("array<bigint>"))
-
-
-def _with_repeats(df: DataFrame) -> DataFrame:
+def _with_repeats(df: DataFrame, window: int = REPEAT_WINDOW) -> DataFrame:
     """Add the places of repeated windows to a table with ``_words``. Each array is a column of its own before a lambda reads it, so that none is
     computed once per element; a text's windows are sorted only if any two are equal."""
-    hashed = df.withColumn("_hashes", window_hashes(F.col("_words")))
+    later = [F.slice("_words", j + 1, F.greatest(F.size("_words") - window + 1, F.lit(0))) for j in range(window)]
+    zipped = df.withColumn("_runs", F.arrays_zip(*[x.alias(f"w{j}") for j, x in enumerate(later)]))
+    hashed = zipped.withColumn("_hashes", F.transform("_runs", lambda x: F.xxhash64(x))).drop("_runs")
     ranked = hashed.withColumn(
         "_ranked",
         F.when(
@@ -100,7 +100,7 @@ def rules() -> list[Rule]:
     """The rules in order of name; the base rule is one of them."""
     words, text = F.col("_words"), F.col("_text")
     n = n_words(words)
-    capitals = F.size(F.filter(words, lambda w: (w == F.upper(w)) & (w != F.lower(w))))
+    capitals = F.size(F.filter(words, lambda w: (w != F.lower(w)) & (w == F.upper(w))))
     return [
         Rule("capitals", capitals * 100 > n * MOST_CAPITALS_PERCENT),
         Rule("duplicate_lines", n_dup_lines(text) * 100 > F.size(lines_with_words(text)) * MOST_DUPLICATE_LINES_PERCENT),
@@ -115,23 +115,46 @@ BASE = ("few_words", "repeats")
 
 
 def _split(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_words", words_of("_text"))
+    """The row as one column, so that its names can't clash with these, its text and its words."""
+    return df.select(F.struct("*").alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_words", words_of("_text"))
 
 
-def _prepared(df: DataFrame, text: str) -> DataFrame:
-    return _with_repeats(_split(df, text))
+def _spread(df: DataFrame, files: int = SAMPLE_FILES) -> list[DataFrame]:
+    """Tables whose first rows are the sample: one for each of some files, if it is files that the table is read from."""
+    every = sorted({unquote(f.rsplit("/", 1)[-1]) for f in df.inputFiles()})
+    if len(every) < 2:
+        return [df]
+    try:
+        at = df.select("*", F.col("_metadata.file_name").alias("_file"))
+    except AnalysisException:  # not a table of files alone
+        return [df]
+    chosen = [every[i * len(every) // files] for i in range(files)] if len(every) > files else every
+    return [at.where(F.col("_file") == f).drop("_file") for f in chosen]  # other files aren't opened
 
 
 def plan_cascade(df: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Names of the rules, most rejections per cost first, by a run of each over at most ``sample_rows`` rows; ties go by name."""
-    sample = df.select(text).limit(sample_rows).persist()
-    total = sample.count()
+    """Names of the rules, most rejections per cost first; ties go by name."""
+    own = df.select(F.col(text).alias("text"))
+    every, parts = rules(), _spread(own)
+
+    def run(part: DataFrame, rows: int, *columns: Column) -> list:
+        # The limit ends the plan, so Spark reads one split after another until it has the rows, and computes no more than these.
+        return _with_repeats(_split(part, "text")).select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).limit(rows).collect()
+
+    def seconds(column: Column) -> float:
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            run(own, min(COST_ROWS, sample_rows), column)
+            took.append(time.perf_counter() - began)
+        return min(took[1:])  # the first run compiles
+
+    rejected = [r for part in parts for r in run(part, -(-sample_rows // len(parts)), *[x.rejects for x in every])]
+    shared = seconds(n_words(F.col("_words"))) if rejected else 0.0
     gain = {}
-    for rule in rules():
-        began = time.perf_counter()
-        rejected = _prepared(sample, text).agg(F.count_if(rule.rejects)).first()[0]
-        gain[rule.name] = (rejected / total if total else 0.0) / max(time.perf_counter() - began, 1e-6)
-    sample.unpersist()
+    for i, rule in enumerate(every):
+        share = sum(r[i] for r in rejected) / len(rejected) if rejected else 0.0
+        gain[rule.name] = share / max(seconds(rule.rejects) - shared, 1e-4) if share else 0.0
     return sorted(gain, key=lambda name: (-gain[name], name))
 
 
@@ -148,10 +171,9 @@ def assess(df: DataFrame, text: str = "text", order: list[str] | None = None) ->
     """Add ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words`` (long), ``base_failed`` and ``kept`` (boolean)."""
     metrics = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     order = order or plan_cascade(df, text)
-    kept = df.drop(*metrics)
     by_name = {r.name: r.rejects for r in rules()}
     base = by_name[BASE[0]] | by_name[BASE[1]]
-    counted = _prepared(kept, text)
+    counted = _with_repeats(_split(df, text))
     row = F.struct(
         n_words(F.col("_words")).alias("n_words"),
         word_chars(F.col("_text")).alias("word_chars"),
@@ -162,7 +184,8 @@ def assess(df: DataFrame, text: str = "text", order: list[str] | None = None) ->
         (~base & verdict([r for r in order if r not in BASE])).alias("kept"),
     )
     # A generator ends the pushing down of later filters, which would compute the arrays again inside of lambdas.
-    return counted.select(*kept.columns, F.inline(F.array(row)))
+    others = [c for c in df.columns if c not in metrics]
+    return counted.select("_row", F.inline(F.array(row))).select(*[F.col(f"_row.`{c}`") for c in others], *metrics)
 
 
 def keep_good(df: DataFrame, text: str = "text", order: list[str] | None = None) -> DataFrame:
@@ -172,9 +195,10 @@ def keep_good(df: DataFrame, text: str = "text", order: list[str] | None = None)
     at = order.index("repeats") if "repeats" in order else len(order)
     good = _split(df, text)
     if at:
-        good = pass_(good, [*df.columns, "_text", "_words"], order[:at])
+        good = pass_(good, ["_row", "_text", "_words"], order[:at])
     # The repeats rule needs arrays of its own, which are built only for documents that the rules before it let pass.
-    return pass_(_with_repeats(good), df.columns, order[at:]) if at < len(order) else good.select(*df.columns)
+    good = pass_(_with_repeats(good), ["_row"], order[at:]) if at < len(order) else good
+    return good.select("_row.*")
 
 
 #: The same for DuckDB, over ``documents``.
