@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voltaic.functions import ilr
-from voltaic.operators import clean, cluster, markov, meanrev, simulate
+from voltaic.functions import features, ilr
+from voltaic.operators import clean, cluster, markov, meanrev, series, simulate, stats
 from voltaic.sources import market
 
 
@@ -19,6 +19,175 @@ def test_tagged_lines(spark, tmp_path):
     assert sorted(map(tuple, found)) == [("01/02/2021", "", None), ("01/02/2021", "01", None)]
 
 
+def test_quoted_cells_and_files_without_a_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('H,"Name, full",B\nD,"x, ""y""", z \nD,p,q,r\nX,1,2\n')
+    (tmp_path / "b.csv").write_text("C,only\nD,1,2\n")
+    found = market.read_tagged(spark, str(tmp_path), ["Name, full", "B"]).drop("file").collect()
+    assert sorted(map(tuple, found)) == [("p", "q"), ('x, "y"', "z")]
+
+
+def fake_pages(name, offset, size):
+    if name == "broken" and offset:
+        raise OSError("gone")
+    return [(name, offset + i) for i in range(min(size, 7 - offset) if name != "broken" else size)]
+
+
+def test_pages_end_short_or_broken(spark):
+    rows = market.read_paged(spark, ["wind", "broken"], fake_pages, "name string, at long", size=3).collect()
+    assert sorted(map(tuple, rows)) == [("broken", i) for i in range(3)] + [("wind", i) for i in range(7)]
+
+
+def test_csv_json_and_purge(spark, tmp_path):
+    path = str(tmp_path / "results")
+    market.write_csv(spark.createDataFrame([(1, 0.5), (2, None)], "a long, score double"), path)
+    assert sorted(map(tuple, market.read_results(spark, path, "a long, score double").collect())) == [(1, 0.5), (2, None)]
+    market.write_json_row(spark.createDataFrame([(1, 0.5)], "a long, score double"), str(tmp_path / "best"))
+    assert spark.read.json(str(tmp_path / "best")).first().asDict() == {"a": 1, "score": 0.5}
+    market.purge(spark, path, str(tmp_path / "absent"))
+    assert not market.exists(spark, path) and market.exists(spark, str(tmp_path / "best"))
+
+
+def test_concat_by_name(spark):
+    one, two = spark.createDataFrame([(1, "x")], "a long, b string"), spark.createDataFrame([("y", 2.0)], "b string, c double")
+    assert sorted(map(tuple, market.concat(one, two).collect()), key=str) == [(1, "x", None), (None, "y", 2.0)]
+
+
+def test_missing_and_infinite_values(spark):
+    df = spark.createDataFrame([(1, 1.0, None), (2, None, None), (3, 1.0, 2.0), (4, float("nan"), 2.0)], "i long, a double, b double")
+    assert [r.i for r in clean.complete(df, ["a", "b"]).collect()] == [3]
+    assert sorted(r.i for r in df.where(~clean.all_null(["a", "b"])).collect()) == [1, 3, 4]
+    assert {r.column: r.nulls for r in clean.null_counts(df, ["a", "b"]).collect()} == {"a": 1, "b": 2}
+    bad = spark.createDataFrame([([1.0, float("inf")],), ([1.0, 2.0],), (None,)], "v array<double>")
+    with pytest.raises(ValueError, match="2 rows"):
+        clean.require_finite(bad, "v")
+    assert clean.require_finite(bad.limit(0), "v").count() == 0
+
+
+def test_columns_by_prefix(spark):
+    df = spark.createDataFrame([(7, *map(float, range(11)))], ["i", *(f"emb_{k}" for k in range(11))])
+    (row,) = clean.gathered(df, "emb_", "v").collect()
+    assert row.i == 7 and row.v == list(map(float, range(11)))
+    assert clean.spread(clean.gathered(df, "emb_", "v"), "v", "emb_", 11).first() == df.first()
+
+
+def test_channels_must_divide(spark):
+    df = spark.createDataFrame([([1.0] * 6,), ([1.0] * 5,)], "v array<double>")
+    assert [r[0] for r in df.select(stats.channels("v", 3, 2)).collect()] == [[[1.0, 1.0]] * 3, None]
+
+
+def test_active_features():
+    assert features.active({"log_return": True, "hour_cyclical": True}, {"ilr_1": False, "ilr_2": True}) == ["log_return", "hour_sin", "hour_cos", "ilr_2"]
+
+
+def test_domain_partition(spark):
+    parts = [0.3, 0.2, 0.1, 0.1, 0.05, 0.02, 0.01, 0.22]
+    z = np.array(spark.createDataFrame([tuple(parts)], ilr.PARTS).select(*ilr.forward(ilr.PARTS, ilr.PARTITION)).first())
+    assert z[3] == pytest.approx(sqrt(0.5) * log(2)) and z[6] == pytest.approx(sqrt(0.5) * log(0.5))
+    basis = np.array(ilr.basis(ilr.PARTITION))
+    assert np.abs(basis @ basis.T - np.eye(7)).max() < 1e-12 and z == pytest.approx(basis @ np.log(parts))
+
+
+def hours(spark, rows, schema):
+    start = F.lit("2021-01-01").cast("timestamp_ntz")
+    return spark.createDataFrame(rows, schema).withColumn("ts", start + F.make_dt_interval(F.lit(0), F.col("h").cast("int")))
+
+
+def test_windows_keep_nulls_in_place(spark):
+    df = hours(spark, [("a", i, None if i == 3 else float(i), i) for i in range(8)] + [("b", i, 1.0, i) for i in range(3)], "s string, h long, x double, y long")
+    got = {r.end_ts.hour: (r.x, r.y) for r in series.windows_of(df, ["s"], "ts", ["x", "y"], 4, 2).collect()}
+    assert got == {3: ([0, 1, 2, None], [0, 1, 2, 3]), 5: ([2, None, 4, 5], [2, 3, 4, 5]), 7: ([4, 5, 6, 7], [4, 5, 6, 7])}
+    assert series.windows_of(df, ["s"], "ts", ["x"], 2, 3).count() == 3 + 1  # strides beyond the length
+
+
+def test_contexts(spark):
+    df = hours(spark, [("a", i, None if i == 6 else float(i)) for i in range(12)], "s string, h long, x double")
+    ends = hours(spark, [("a", h) for h in (1, 2, 3, 5, 6, 9, 40)], "s string, h long").drop("h")
+    got = {r.ts.hour: r.history for r in series.contexts(ends, df, ["s"], "ts", "x", 3).collect()}
+    assert got == {3: [1, 2, 3], 5: [3, 4, 5], 9: [7, 8, 9]}
+    assert 2 in {r.ts.hour for r in series.contexts(ends, df, ["s"], "ts", "x", 3, skip_first=False).collect()}
+
+
+def test_halves(spark):
+    df = hours(spark, [("a", i) for i in range(5)] + [("b", 0)], "s string, h long")
+    assert sorted((r.s, r.h, r.half) for r in series.halves(df, ["s"], ["ts"]).collect()) == [("a", 0, 1), ("a", 1, 1), ("a", 2, 2), ("a", 3, 2), ("a", 4, 2), ("b", 0, 2)]
+
+
+def test_correlogram_over_blocks(spark):
+    x = np.sin(np.arange(500) / 7) + np.random.default_rng(0).normal(0, 0.3, 500)
+    df = hours(spark, [("a", i, float(v)) for i, v in enumerate(x)], "s string, h long, x double")
+    c = x - x.mean()
+    expected = [float((c[:-k] * c[k:]).sum() / (c * c).sum()) for k in range(1, 31)]
+    for block in (32, 64, 4_096):
+        got = {r.lag: r.acf for r in series.correlogram(df, ["s"], "ts", "x", 30, block).collect()}
+        assert [got[k] for k in range(1, 31)] == pytest.approx(expected)
+
+
+def test_loess_follows_a_line(spark):
+    df = hours(spark, [("a", i, 3.0 + 0.5 * i) for i in range(120)] + [("b", 0, 1.0)], "s string, h long, x double")
+    whole = {(r.s, r.ts): r.trend for r in series.loess(df, ["s"], "ts", "x", 21, 4_096).collect()}
+    assert sorted(whole.values()) == pytest.approx(sorted([1.0, *(3.0 + 0.5 * i for i in range(120))]))
+    assert {(r.s, r.ts): r.trend for r in series.loess(df, ["s"], "ts", "x", 21, 16).collect()} == pytest.approx(whole)
+
+
+def test_exact_percentiles(spark):
+    rng = np.random.default_rng(3)
+    values = {"a": rng.normal(0, 50, 400).tolist(), "b": [1.0] * 7 + [2.0], "c": [-0.0, 0.0, 1e-320, 5e-324], "d": np.exp(rng.normal(0, 20, 100)).tolist()}
+    df = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("e", None)], "k string, x double")
+    at = {"lo": 0.0, "p05": 0.05, "p37": 0.37, "mid": 0.5, "p99": 0.99, "hi": 1.0}
+    got = {r.k: r for r in stats.exact_percentiles(df, ["k"], "x", at).collect()}
+    assert set(got) == set(values)
+    for k, v in values.items():
+        assert [got[k][n] for n in at] == pytest.approx(np.percentile(v, [100 * p for p in at.values()]).tolist(), rel=1e-9, abs=1e-12)
+    (whole,) = stats.exact_percentiles(df.where("k = 'a'"), [], "x", {"mid": 0.5}).collect()
+    assert whole.mid == pytest.approx(np.median(values["a"]))
+
+
+def test_normal_plot_and_samples(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([("n", float(x)) for x in rng.normal(3, 2, 500)] + [("e", float(x)) for x in rng.exponential(1, 500)], "k string, x double")
+    got = {r.k: r.r2 for r in stats.normal_plot(df, ["k"], "x").collect()}
+    assert got["n"] > 0.99 > 0.9 > got["e"]
+    ids = spark.range(100)
+    one, two = ([r.id for r in stats.seeded_sample(t, "id", 10).collect()] for t in (ids, ids.repartition(7)))
+    assert sorted(one) == sorted(two) and len(set(one)) == 10
+
+
+def test_p_values_and_errors_of_slopes(spark):
+    # Student's t with 8 degrees of freedom: P(|t| > 2.306) = 0.05, P(|t| > 3.355) = 0.01.
+    for t, p in ((2.306004, 0.05), (3.355387, 0.01)):
+        assert meanrev.slope_p_value(t * t / (t * t + 8), 10) == pytest.approx(p, rel=1e-4)
+    x, y = np.arange(12.0), np.arange(12.0) * 0.5 + np.random.default_rng(1).normal(0, 1, 12)
+    (row,) = meanrev.ols(spark.createDataFrame([("a", float(a), float(b)) for a, b in zip(x, y)], "k string, x double, y double"), ["k"], "x", "y").collect()
+    slope, level = np.polyfit(x, y, 1)
+    left = y - slope * x - level
+    assert (row.slope, row.r, row.stderr) == pytest.approx((slope, np.corrcoef(x, y)[0, 1], sqrt((left**2).sum() / 10 / ((x - x.mean()) ** 2).sum())))
+    assert [r[0] for r in spark.createDataFrame([(0.06, 10.0), (0.04, 10.0), (0.5, 0.5)], "r2 double, half_life double").select(meanrev.plausible()).collect()] == [True, False, False]
+
+
+def test_forecast_repeats_the_season():
+    day = np.arange(24.0)
+    past = np.vstack([np.tile(day, 3), np.tile(day, 3) + 1])
+    assert meanrev.seasonal_forecast(past, 30)[0].tolist() == [*day, *day[:6]] and meanrev.seasonal_forecast(past[:, :5], 3).tolist() == [[0, 0, 0]] * 2
+
+
+def test_bootstrap_lies_around_the_distribution(spark):
+    pairs = spark.createDataFrame([("a", "a")] * 90 + [("a", "b")] * 10 + [("b", "a")] * 30 + [("b", "b")] * 70, "from_label string, to_label string")
+    matrix = markov.transition_matrix(pairs, spark.createDataFrame([("a",), ("b",)], "label string"))
+    got = {r.label: r for r in markov.bootstrap_stationary(matrix, 400).collect()}
+    assert got["a"].lo < 0.75 < got["a"].hi and got["a"].mean == pytest.approx(0.75, abs=0.03) and got["a"].hi - got["a"].lo < 0.25
+
+
+def test_paths_without_noise(spark):
+    one = np.ones(1)
+    x, regime = simulate.chunk_paths(np.random.default_rng(0), 3, 8, 0.0, one, np.ones((1, 1)), one * 0.5, one, one * 0)
+    assert x[1].tolist() == pytest.approx([1 - 0.5**n for n in range(1, 9)]) and regime.shape == (3, 2) and not regime.any()
+    p = np.array([[0.9, 0.1], [0.3, 0.7]])
+    _, regime = simulate.chunk_paths(np.random.default_rng(1), 4_000, 60, 0.0, np.array([0.75, 0.25]), p, np.zeros(2), np.zeros(2), np.ones(2))
+    assert (regime == 0).mean(axis=0) == pytest.approx(np.full(10, 0.75), abs=0.03)
+    wide = simulate.wide(spark.createDataFrame([(1, 1, 0.5), (1, 2, 1.5)], "traj_id long, hour long, log_lmp double"), 2)
+    assert wide.columns == ["traj_id", "h001", "h002"] and tuple(wide.first()) == (1, 0.5, 1.5)
+
+
 def test_hub_and_fallback(spark):
     rows = [("f", "A", "HUB"), ("f", "B", "ZONE"), ("g", "A", "HUB"), ("g", "C", "ZONE")]
     df = spark.createDataFrame(rows, ["file", "Location Name", "Location Type"])

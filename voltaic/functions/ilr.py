@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 
 #: Parts and the sequential binary partition (signs of each part by coordinate), in the order of the parts.
 PARTS = ["natural_gas", "nuclear", "hydro", "wind", "solar", "coal", "oil", "other"]
+PARTITION = [
+    [1, 1, -1, -1, -1, 1, 1, 1],
+    [1, -1, 0, 0, 0, 1, 1, -1],
+    [1, 0, 0, 0, 0, -1, -1, 0],
+    [0, 0, 0, 0, 0, 1, -1, 0],
+    [0, 1, 0, 0, 0, 0, 0, -1],
+    [0, 0, 1, -1, -1, 0, 0, 0],
+    [0, 0, 0, -1, 1, 0, 0, 0],
+]
 ZERO_REPLACEMENT = 1e-4
 
 

@@ -68,6 +68,40 @@ def gaps(df: DataFrame, ts: str, series: Sequence[str] = (), hours: float = 2.0)
     return df.select(*series, before.alias("from_ts"), F.col(ts).alias("to_ts")).withColumn("gap_hours", apart).where(F.col("gap_hours") > hours)
 
 
+def complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows in which none of the columns is missing, as NaN counts too."""
+    return df.dropna(subset=list(columns))
+
+
+def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column``, ``nulls`` of each column, in one pass."""
+    row = F.array(*[F.struct(F.lit(c).alias("column"), F.count_if(F.col(c).isNull()).alias("nulls")) for c in columns])
+    return df.agg(row.alias("r")).select(F.inline("r"))
+
+
+def require_finite(df: DataFrame, array: str) -> DataFrame:
+    """The table itself; raises ValueError if any value of the array is missing or infinite."""
+    if bad := not_finite(df, array):
+        raise ValueError(f"{bad} rows have a missing or infinite value in {array}")
+    return df
+
+
+def prefixed(df: DataFrame, prefix: str) -> list[str]:
+    """Names of the columns with a prefix, in the table's order."""
+    return [c for c in df.columns if c.startswith(prefix)]
+
+
+def gathered(df: DataFrame, prefix: str, out: str) -> DataFrame:
+    """Columns ``prefix0``, ``prefix1``, ... put into one array, in order of their number."""
+    names = sorted(prefixed(df, prefix), key=lambda c: int(c[len(prefix) :]))
+    return df.select(*[c for c in df.columns if c not in names], F.array(*names).alias(out))
+
+
+def spread(df: DataFrame, array: str, prefix: str, count: int) -> DataFrame:
+    """The first ``count`` values of an array as columns ``prefix0``, ``prefix1``, ..."""
+    return df.select(*[c for c in df.columns if c != array], *[F.get(array, F.lit(i)).alias(f"{prefix}{i}") for i in range(count)])
+
+
 def not_finite(df: DataFrame, array: str) -> int:
     """Rows whose array has a missing or infinite value; for checks that must fail early."""
     bad = F.exists(array, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

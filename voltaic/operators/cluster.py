@@ -15,15 +15,15 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def statistical_embedding(channel: np.ndarray, patches: int = 8) -> np.ndarray:
-    """Patch means of a z-scored channel, then its mean and deviation."""
-    mean, std = channel.mean(), channel.std()
-    z = (channel - mean) / std if std else channel * 0
-    return np.concatenate([[p.mean() for p in np.array_split(z, patches)], [mean, std]])
+    """Of each row, one window of a channel: patch means of its z-scores, then its mean and deviation."""
+    mean, std = channel.mean(axis=1, keepdims=True), channel.std(axis=1, keepdims=True)
+    z = (channel - mean) / np.where(std > 0, std, 1)
+    return np.concatenate([p.mean(axis=1, keepdims=True) for p in np.array_split(z, patches, axis=1)] + [mean, std], axis=1)
 
 
 def embed(windows: DataFrame, keys: Sequence[str], channels: Sequence[str], embedder: Callable[[np.ndarray], np.ndarray] = statistical_embedding) -> DataFrame:
@@ -31,8 +31,11 @@ def embed(windows: DataFrame, keys: Sequence[str], channels: Sequence[str], embe
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [np.concatenate([embedder(np.asarray(b[c].iloc[i], float)) for c in channels]).astype(np.float32).tolist() for i in range(len(b))]
-            yield b[list(keys)].assign(embedding=rows)
+            out, sizes = pd.Series([None] * len(b), index=b.index, dtype=object), b[channels[0]].map(len)
+            for n, part in b.groupby(sizes, sort=False):
+                made = [embedder(np.array(part[c].tolist(), float).reshape(len(part), n)) for c in channels]
+                out[part.index] = list(np.concatenate(made, axis=1).astype(np.float32))
+            yield b[list(keys)].assign(embedding=out)
 
     kinds = ", ".join(f"`{k}` {windows.schema[k].dataType.simpleString()}" for k in keys)
     return windows.select(*keys, *channels).mapInPandas(run, f"{kinds}, embedding array<float>")
@@ -98,18 +101,20 @@ def tomato(points: np.ndarray, k: int, clusters: int) -> tuple[np.ndarray, np.nd
                     root[find(r)] = find(i)
         return np.array([find(i) for i in range(len(points))]), lost
 
-    _, lost = merge(np.inf)
+    apart, lost = merge(np.inf)
     peaks = np.sort(np.array(lost))[::-1]
-    limit = np.inf if clusters <= 1 or not len(peaks) else peaks[min(clusters - 1, len(peaks)) - 1]
-    labels, _ = merge(limit if np.isfinite(limit) else np.inf)
+    kept = clusters - len(np.unique(apart))  # parts of the graph that aren't connected stay apart anyway
+    limit = peaks[min(kept, len(peaks)) - 1] if kept > 0 and len(peaks) else np.inf
+    labels, _ = merge(limit)
     return np.unique(labels, return_inverse=True)[1], peaks
 
 
-def hdbscan(points: np.ndarray, least: int) -> np.ndarray:
-    """Density clusters by excess of mass over the mutual-reachability spanning tree; -1 is noise."""
+def spanning_tree(points: np.ndarray, least: int) -> list[tuple[float, int, int]]:
+    """The edges of the mutual-reachability spanning tree (distance and both ends), shortest first."""
     n = len(points)
-    k = min(least, n - 1)
-    core = knn(points, k)[1][:, -1]
+    if n < 2:
+        return []
+    core = knn(points, min(least, n - 1))[1][:, -1]
     inside, best, link = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, np.int64)
     edges, cur = [], 0
     for _ in range(n - 1):  # Prim
@@ -118,8 +123,37 @@ def hdbscan(points: np.ndarray, least: int) -> np.ndarray:
         better = ~inside & (d < best)
         best[better], link[better] = d[better], cur
         cur = int(np.where(inside, np.inf, best).argmin())
-        edges.append((best[cur], int(link[cur]), cur))
-    edges.sort()
+        edges.append((float(best[cur]), int(link[cur]), cur))
+    return sorted(edges)
+
+
+def relative_validity(edges: list[tuple[float, int, int]], labels: np.ndarray) -> float | None:
+    """A density-based validity (-1 to 1) from the spanning tree: each cluster's longest inner edge against the shortest one that leaves it for another
+    cluster, weighted by size; noise counts in the whole. None without two clusters."""
+    names = np.unique(labels[labels != -1])
+    if len(names) < 2:
+        return None
+    inner, outer = dict.fromkeys(names.tolist(), 0.0), dict.fromkeys(names.tolist(), np.inf)
+    longest = max((d for d, *_ in edges), default=0.0)
+    for d, a, b in edges:
+        x, y = int(labels[a]), int(labels[b])
+        if x == y and x != -1:
+            inner[x] = max(inner[x], d)
+        elif x != y and x != -1 and y != -1:
+            outer[x], outer[y] = min(outer[x], d), min(outer[y], d)
+    total = 0.0
+    for c in names.tolist():
+        apart = outer[c] if np.isfinite(outer[c]) else longest
+        total += int((labels == c).sum()) * (apart - inner[c]) / max(apart, inner[c], 1e-300)
+    return total / len(labels)
+
+
+def hdbscan(points: np.ndarray, least: int) -> np.ndarray:
+    """Density clusters by excess of mass over the mutual-reachability spanning tree; -1 is noise."""
+    n = len(points)
+    if n < 2:
+        return np.full(n, -1)
+    edges = spanning_tree(points, least)
     parent, tree, size = list(range(2 * n - 1)), {}, [1] * n + [0] * (n - 1)
 
     def find(x: int) -> int:
@@ -186,34 +220,129 @@ def hdbscan(points: np.ndarray, least: int) -> np.ndarray:
     return labels
 
 
-def umap(points: np.ndarray, neighbours: int, min_dist: float, dims: int = 2, epochs: int = 100, seed: int = 42) -> np.ndarray:
-    """A layout of the fuzzy neighbour graph by attraction along its edges and repulsion of random pairs."""
+def layout_curve(min_dist: float, spread: float = 1.0) -> tuple[float, float]:
+    """``a``, ``b`` for which 1 / (1 + a x^2b) is nearest to 1 up to ``min_dist`` and an exponential beyond, by damped least squares."""
+    x = np.linspace(0, 3 * spread, 300)[1:]
+    target = np.where(x < min_dist, 1.0, np.exp(-(x - min_dist) / spread))
+    curve = lambda v: 1 / (1 + np.exp(v[0]) * x ** (2 * np.exp(v[1])))
+    v, damping = np.zeros(2), 1e-2
+    error = ((curve(v) - target) ** 2).sum()
+    for _ in range(500):
+        f = curve(v)
+        power = np.exp(v[0]) * x ** (2 * np.exp(v[1]))
+        slope = np.stack([-(f**2) * power, -(f**2) * power * 2 * np.exp(v[1]) * np.log(x)], axis=1)
+        square = slope.T @ slope
+        new = v - np.linalg.solve(square + damping * np.diag(np.diag(square) + 1e-12), slope.T @ (f - target))
+        got = ((curve(new) - target) ** 2).sum()
+        if got < error:
+            done = error - got < 1e-12
+            v, error, damping = new, got, damping / 3
+            if done:
+                break
+        else:
+            damping *= 4
+    return float(np.exp(v[0])), float(np.exp(v[1]))
+
+
+def fuzzy_graph(points: np.ndarray, neighbours: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both ends and weights of the edges of the fuzzy neighbour graph: weights decay beyond the nearest neighbour so that they sum to log2 of the number of
+    neighbours, and an edge is there if either end has it."""
     n = len(points)
-    at, dist = knn(points, min(neighbours, n - 1))
-    rho = dist[:, :1]
-    scale = np.maximum((dist - rho).mean(axis=1, keepdims=True), 1e-9)
-    w = np.exp(-np.maximum(dist - rho, 0) / scale)
+    k = min(neighbours, n - 1)
+    at, dist = knn(points, k)
+    nearest = np.where(dist > 0, dist, np.inf).min(axis=1, keepdims=True)
+    beyond = np.maximum(dist - np.where(np.isfinite(nearest), nearest, 0), 0)
+    low, high, target = np.zeros((n, 1)), np.full((n, 1), np.inf), np.log2(max(k, 2))
+    width = np.ones((n, 1))
+    for _ in range(64):
+        over = np.exp(-beyond / width).sum(axis=1, keepdims=True) > target
+        low, high = np.where(over, low, width), np.where(over, width, high)
+        width = np.where(np.isfinite(high), (low + high) / 2, width * 2)
+        width = np.minimum(width, 1e12)
+    width = np.maximum(width, 1e-3 * np.maximum(dist.mean(axis=1, keepdims=True), 1e-12))
+    w = np.exp(-beyond / width)
+    head, tail, weight = np.repeat(np.arange(n), k), at.ravel(), w.ravel()
+    key = np.concatenate([head * n + tail, tail * n + head])
+    order = np.argsort(key, kind="stable")
+    key, both = key[order], np.concatenate([weight, weight])[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    union = 1 - np.multiply.reduceat(1 - both, first)  # a + b - ab
+    return key[first] // n, key[first] % n, union
+
+
+def umap(points: np.ndarray, neighbours: int, min_dist: float, dims: int = 2, epochs: int = 200, seed: int = 42, negatives: int = 5) -> np.ndarray:
+    """A layout of the fuzzy neighbour graph: edges attract as often as their weight says, and each time push ``negatives`` random points away. It begins with the
+    principal components; the moves of an epoch are made together."""
+    n = len(points)
+    if n < 3:
+        return np.zeros((n, dims))
+    head, tail, weight = fuzzy_graph(points, neighbours)
+    a, b = layout_curve(min_dist)
     rng = np.random.default_rng(seed)
     centred = points - points.mean(axis=0)
-    y = (centred @ np.linalg.svd(centred, full_matrices=False)[2][:dims].T).copy()
-    y = y[:, :dims] / (np.abs(y).max() or 1.0) * 10 + rng.normal(0, 1e-4, (n, dims))
-    head, tail, weight = np.repeat(np.arange(n), at.shape[1]), at.ravel(), w.ravel()
-    b = 1.0
-    a = 1.0 / max(min_dist, 0.05)
+    y = np.zeros((n, dims))
+    first = centred @ np.linalg.svd(centred, full_matrices=False)[2][:dims].T
+    y[:, : first.shape[1]] = first / (np.abs(first).max() or 1.0) * 10
+    y += rng.normal(0, 1e-4, y.shape)
+    rate = weight / weight.max()
+    taken = np.zeros(len(weight))
     for e in range(epochs):
-        rate = 1.0 - e / epochs
-        pull = y[head] - y[tail]
-        d2 = (pull**2).sum(axis=1, keepdims=True)
-        g = np.clip(-2 * a * b * weight[:, None] * pull / (1 + a * d2), -4, 4) * rate * 0.5
-        np.add.at(y, head, g)
-        np.add.at(y, tail, -g)
-        other = rng.integers(0, n, len(head))
-        push = y[head] - y[other]
-        d2 = (push**2).sum(axis=1, keepdims=True)
-        np.add.at(y, head, np.clip(2 * b * push / ((0.001 + d2) * (1 + a * d2)), -4, 4) * rate * 0.1)
+        step = 1.0 - e / epochs
+        now = np.floor(rate * (e + 1)) > taken
+        taken = np.floor(rate * (e + 1))
+        i, j = head[now], tail[now]
+        move = np.zeros_like(y)
+        apart = y[i] - y[j]
+        d2 = np.maximum((apart**2).sum(axis=1, keepdims=True), 1e-12)
+        pull = np.clip(-2 * a * b * d2 ** (b - 1) / (1 + a * d2**b) * apart, -4, 4)
+        np.add.at(move, i, pull)
+        np.add.at(move, j, -pull)
+        i = np.repeat(i, negatives)
+        other = rng.integers(0, n, len(i))
+        apart = y[i] - y[other]
+        d2 = (apart**2).sum(axis=1, keepdims=True)
+        np.add.at(move, i, np.where((i != other)[:, None], np.clip(2 * b / ((0.001 + d2) * (1 + a * d2**b)) * apart, -4, 4), 0))
+        times = np.bincount(head[now], minlength=n) + np.bincount(tail[now], minlength=n)
+        y += step * move / np.maximum(times, 1)[:, None] ** 0.5
     return y
 
 
+def tsne(points: np.ndarray, perplexity: float = 30.0, iterations: int = 500, seed: int = 42) -> np.ndarray:
+    """A layout in two dimensions whose Student t similarities are near to Gaussian ones of standardised points; for a display of a bounded sample."""
+    n = len(points)
+    if n < 3:
+        return np.zeros((n, 2))
+    std = points.std(axis=0)
+    x = (points - points.mean(axis=0)) / np.where(std > 0, std, 1)
+    squares = (x**2).sum(axis=1)
+    d = np.maximum(squares[:, None] + squares - 2 * x @ x.T, 0)
+    np.fill_diagonal(d, np.inf)
+    low, high, beta = np.zeros((n, 1)), np.full((n, 1), np.inf), np.ones((n, 1)) / np.median(d[np.isfinite(d)])
+    least = d.min(axis=1, keepdims=True)
+    for _ in range(60):
+        p = np.exp(-(d - least) * beta)
+        p /= p.sum(axis=1, keepdims=True)
+        entropy = -(p * np.log(np.maximum(p, 1e-300))).sum(axis=1, keepdims=True)
+        wide = entropy > np.log(min(perplexity, (n - 1) / 3))
+        low, high = np.where(wide, beta, low), np.where(wide, high, beta)
+        beta = np.where(np.isfinite(high), (low + high) / 2, beta * 2)
+    p = np.maximum((p + p.T) / (2 * n), 1e-12)
+    rng = np.random.default_rng(seed)
+    first = x @ np.linalg.svd(x, full_matrices=False)[2][:2].T
+    y = np.pad(first, ((0, 0), (0, 2 - first.shape[1]))) / (first[:, 0].std() or 1) * 1e-4 + rng.normal(0, 1e-6, (n, 2))
+    speed, gain, rate = np.zeros_like(y), np.ones_like(y), max(n / 48, 50)
+    for k in range(iterations):
+        near = 1 / (1 + np.maximum((y**2).sum(axis=1)[:, None] + (y**2).sum(axis=1) - 2 * y @ y.T, 0))
+        np.fill_diagonal(near, 0)
+        q = np.maximum(near / near.sum(), 1e-12)
+        force = ((12 if k < 100 else 1) * p - q) * near
+        slope = 4 * (force.sum(axis=1)[:, None] * y - force @ y)
+        gain = np.maximum(np.where((slope > 0) != (speed > 0), gain + 0.2, gain * 0.8), 0.01)
+        speed = (0.5 if k < 100 else 0.8) * speed - rate * gain * slope
+        y = y + speed
+    return y - y.mean(axis=0)
+
+
 def silhouette(points: np.ndarray, labels: np.ndarray, block: int = 1_024) -> float | None:
     """Mean Euclidean silhouette over points that aren't noise; None with fewer than two clusters or too few points."""
     keep = labels != -1
@@ -221,10 +350,11 @@ def silhouette(points: np.ndarray, labels: np.ndarray, block: int = 1_024) -> fl
     names, code, counts = np.unique(y, return_inverse=True, return_counts=True)
     if len(names) < 2 or len(x) <= len(names):
         return None
-    one = np.eye(len(names))[code]
+    one, squares = np.eye(len(names))[code], (x**2).sum(axis=1)
     total = 0.0
     for i in range(0, len(x), block):
-        d = np.sqrt(np.maximum(((x[i : i + block, None] - x) ** 2).sum(axis=2), 0))
+        d = np.sqrt(np.maximum(squares[i : i + block, None] + squares - 2 * x[i : i + block] @ x.T, 0))
+        d[np.arange(len(d)), i + np.arange(len(d))] = 0
         sums = d @ one
         own = code[i : i + block]
         rows = np.arange(len(own))
@@ -236,6 +366,96 @@ def silhouette(points: np.ndarray, labels: np.ndarray, block: int = 1_024) -> fl
     return total / len(x)
 
 
+#: Points of a block that goes to all tasks.
+BLOCK_ROWS = 20_000
+
+
+def _against_blocks(points: DataFrame, columns: Sequence[str], f: Callable, schema: str, array: str = "embedding") -> DataFrame:
+    """``f(rows, block)`` of each batch of a table against every block of it: blocks of about ``BLOCK_ROWS`` points, one after another sent to all tasks, so that neither
+    the driver nor a task holds more than one."""
+    spark, count = points.sparkSession, points.count()
+    blocks = max(1, -(-count // BLOCK_ROWS))
+    dealt = points.withColumn("_block", F.pmod(F.xxhash64(*columns), F.lit(blocks)))
+    out = None
+    for b in range(blocks):
+        shared = spark.sparkContext.broadcast(dealt.where(F.col("_block") == b).select(*columns, array).toPandas())
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            block = shared.value
+            y = np.array(block[array].tolist(), float).reshape(len(block), -1)
+            for rows in batches:
+                for i in range(0, len(rows), 512):
+                    part = rows.iloc[i : i + 512]
+                    x = np.array(part[array].tolist(), float)
+                    if not len(y):
+                        continue
+                    d = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1) - 2 * x @ y.T, 0))
+                    yield f(part, block, d)
+
+        found = points.select(*columns, array).mapInPandas(run, schema)
+        out = found if out is None else out.union(found)
+    return out
+
+
+def neighbours(points: DataFrame, k: int, key: str = "vec_id", array: str = "embedding") -> DataFrame:
+    """``other``, ``rank``, ``distance`` of the k nearest others of each point, ties by key."""
+
+    def nearest(rows: pd.DataFrame, block: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
+        ids, others = rows[key].to_numpy(), block[key].to_numpy()
+        d = np.where(ids[:, None] == others, np.inf, np.round(d, 9))
+        order = np.lexsort((np.broadcast_to(others, d.shape), d), axis=1)[:, :k]
+        got = pd.DataFrame({key: np.repeat(ids, order.shape[1]), "other": others[order].ravel(), "distance": np.take_along_axis(d, order, axis=1).ravel()})
+        return got[np.isfinite(got["distance"])]
+
+    kind = points.schema[key].dataType.simpleString()
+    found = _against_blocks(points, [key], nearest, f"`{key}` {kind}, other {kind}, distance double", array)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance", "other")))
+    return ranked.where(F.col("rank") <= k)
+
+
+def mean_silhouette(points: DataFrame, key: str = "vec_id", label: str = "label", array: str = "embedding", noise: int = -1) -> DataFrame:
+    """``silhouette``: the mean Euclidean one over points that aren't noise; null with fewer than two clusters or too few points."""
+    own = points.where(F.col(label) != noise)
+
+    def sums(rows: pd.DataFrame, block: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
+        d = np.where(rows[key].to_numpy()[:, None] == block[key].to_numpy(), 0, d)
+        names, code = np.unique(block[label].to_numpy(), return_inverse=True)
+        total = d @ np.eye(len(names))[code]
+        n = len(names)
+        return pd.DataFrame({key: np.repeat(rows[key].to_numpy(), n), label: np.repeat(rows[label].to_numpy(), n), "other": np.tile(names, len(rows)), "total": total.ravel()})
+
+    kinds = [points.schema[c].dataType.simpleString() for c in (key, label)]
+    part = _against_blocks(own, [key, label], sums, f"`{key}` {kinds[0]}, `{label}` {kinds[1]}, other {kinds[1]}, total double", array)
+    size = own.groupBy(F.col(label).alias("other")).agg(F.count("*").alias("n"))
+    mean = part.groupBy(key, label, "other").agg(F.sum("total").alias("total")).join(F.broadcast(size), "other")
+    mine = F.col("other") == F.col(label)
+    by = mean.groupBy(key, label).agg(
+        F.max(F.when(mine, F.try_divide(F.col("total"), F.col("n") - 1))).alias("a"), F.min(F.when(~mine, F.col("total") / F.col("n"))).alias("b"), F.max(F.when(mine, F.col("n"))).alias("own")
+    )
+    one = F.when(F.col("own") > 1, F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))).otherwise(0.0)
+    found = by.agg(F.avg(F.coalesce(one, F.lit(0.0))).alias("s"), F.countDistinct(label).alias("k"), F.count("*").alias("n"))
+    return found.select(F.when((F.col("k") > 1) & (F.col("n") > F.col("k")), F.col("s")).alias("silhouette"))
+
+
+def ranked(results: DataFrame, score: str, keys: Sequence[str]) -> DataFrame:
+    """Results with their ``rank``: best score first, missing ones last, ties by parameters. A row for each trial reaches the window."""
+    return results.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.desc_nulls_last(score), *keys)))
+
+
+def best(results: DataFrame, score: str, keys: Sequence[str]) -> DataFrame:
+    """The best trial; raises RuntimeError if none has a score."""
+    row = results.where(F.col(score).isNotNull()).orderBy(F.desc(score), *keys).limit(1)
+    if row.isEmpty():
+        raise RuntimeError("no trial has a score")
+    return row
+
+
+def heat_map(results: DataFrame, row: str, column: str, score: str, columns: Sequence) -> DataFrame:
+    """The best score of each pair of parameters, a column for each value of one of them, whether it was tried or not."""
+    wide = results.groupBy(row).pivot(column, list(columns)).agg(F.max(score))
+    return wide.select(row, *[F.col(f"`{c}`").alias(f"{column}_{c}") for c in columns])
+
+
 def gated(score: Column, noise: Column, most: float = 0.05) -> Column:
     """A score counts only if at most this share is noise."""
     return F.when(noise <= most, score)
@@ -249,10 +469,18 @@ def grid(spark, **values: Sequence) -> DataFrame:
 
 
 def layout_trial(points: np.ndarray, neighbours: int, min_dist: float, least: int, dims: int = 20) -> dict:
-    """Clusters, share of noise and silhouette of the density clusters of a layout."""
-    y = umap(points, neighbours, min_dist, min(dims, points.shape[1]))
+    """Clusters, share of noise, silhouette and density-based validity of the density clusters of a layout."""
+    y = umap(points, neighbours, min_dist, min(dims, points.shape[1]), epochs=100)
     labels = hdbscan(y, least)
-    return {"n_clusters": len(set(labels.tolist()) - {-1}), "noise": float((labels == -1).mean()), "silhouette": silhouette(y, labels)}
+    return {"n_clusters": len(set(labels.tolist()) - {-1}), "noise": float((labels == -1).mean()), "silhouette": silhouette(y, labels), "validity": relative_validity(spanning_tree(y, least), labels)}
+
+
+def mode_trial(points: np.ndarray, k: int, clusters: int, most: int = 3_000, seed: int = 42) -> dict:
+    """Clusters, silhouette (of at most so many points, drawn by a seed) and the last kept persistence of a mode-seeking clustering."""
+    labels, lost = tomato(points, k, clusters)
+    some = np.sort(np.random.default_rng(seed).permutation(len(points))[:most])
+    finite = lost[np.isfinite(lost)]
+    return {"n_found": len(np.unique(labels)), "noise": 0.0, "silhouette": silhouette(points[some], labels[some]), "persistence": float(finite[-1]) if len(finite) else None}
 
 
 @contextmanager
@@ -271,6 +499,24 @@ def time_limit(seconds: float) -> Iterator[None]:
         signal.signal(signal.SIGALRM, before)
 
 
+def resumed_grid(todo: DataFrame, path: str, keys: Sequence[str], trial: Callable[..., dict], result: str, batch: int = 16, **limits: float) -> DataFrame:
+    """The results of all trials, kept under a path in batches: after a stop, only what isn't there is run. Trials that failed are run again."""
+    spark = todo.sparkSession
+    names = [c.split()[0] for c in result.split(", ")]
+    empty = spark.createDataFrame([], result)
+
+    def kept() -> DataFrame:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return spark.read.schema(empty.schema).parquet(path) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else empty
+
+    open_ = [tuple(r) for r in todo.select(*keys).join(kept().where("status = 'ok'"), list(keys), "left_anti").orderBy(*keys).collect()]  # a row for each trial
+    for i in range(0, len(open_), batch):
+        part = spark.createDataFrame(open_[i : i + batch], todo.select(*keys).schema)
+        run_grid(part.repartition(len(open_[i : i + batch]), *keys), None, keys, trial, result, **limits).write.mode("append").parquet(path)
+    latest = kept().withColumn("_ok", F.col("status") == "ok")
+    return latest.groupBy(*keys).agg(F.max_by(F.struct(*names), "_ok").alias("r")).select("r.*")
+
+
 def run_grid(todo: DataFrame, done: DataFrame | None, keys: Sequence[str], trial: Callable[..., dict], result: str, timeout: float = 480, tries: int = 10, wait: float = 30) -> DataFrame:
     """Run the trials that aren't done yet, each in a task of its own; an error, or more than ``timeout`` seconds, becomes a row with its message in ``status``.
     A lost connection is tried again, after ``wait`` seconds more each time; resuming runs again what isn't in ``done``."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import exp, lgamma, log
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,11 +14,13 @@ LEAST_ROWS = 10
 
 
 def ols(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int = LEAST_ROWS) -> DataFrame:
-    """``n_obs``, ``slope``, ``intercept``, ``r2`` of y on x per group; groups of fewer than ``least`` rows are left out."""
+    """``n_obs``, ``slope``, ``intercept``, ``r2``, ``r`` and ``stderr`` (of the slope) of y on x per group; groups of fewer than ``least`` rows are left out."""
     out = df.groupBy(*keys).agg(
-        F.regr_count(y, x).alias("n_obs"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2")
-    )
-    return out.where(F.col("n_obs") >= least)
+        F.regr_count(y, x).alias("n_obs"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"),
+        F.regr_sxx(y, x).alias("_sxx"), F.regr_syy(y, x).alias("_syy"),
+    )
+    spread = F.try_divide((1 - F.col("r2")) * F.col("_syy"), (F.col("n_obs") - 2) * F.col("_sxx"))
+    return out.where(F.col("n_obs") >= least).withColumn("r", F.signum("slope") * F.sqrt("r2")).withColumn("stderr", F.sqrt(spread)).drop("_sxx", "_syy")
 
 
 def ou_parameters(fits: DataFrame, horizon: str = "horizon_h") -> DataFrame:
@@ -82,21 +85,24 @@ def sigma(df: DataFrame, c: str, keys: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*keys).agg(F.stddev_pop(c).alias("sigma"))
 
 
-def seasonal_forecast(history: Sequence[float], steps: int, period: int = 24) -> list[float]:
-    """The default forecaster: the mean of past values at the same place in the period. Any function of this form can stand in."""
-    out = []
+def seasonal_forecast(history: np.ndarray, steps: int, period: int = 24) -> np.ndarray:
+    """The default forecaster: for each row of histories, the mean of past values at the same place in the period. Any function of this form can stand in."""
+    out = np.zeros((len(history), steps))
     for k in range(steps):
-        same = [history[i] for i in range(len(history) - period + k % period, -1, -period)]
-        out.append(sum(same) / len(same) if same else 0.0)
+        same = history[:, history.shape[1] - period + k % period :: -period] if history.shape[1] >= period - k % period else history[:, :0]
+        out[:, k] = same.mean(axis=1) if same.shape[1] else 0.0
     return out
 
 
 def forecast(windows: DataFrame, keys: Sequence[str], array: str, steps: int = 24, forecaster=seasonal_forecast) -> DataFrame:
-    """``path``: forecast values after each window."""
+    """``path``: forecast values after each window. Windows of a batch with one length are forecast together."""
 
     def run(batches):
         for b in batches:
-            yield b[list(keys)].assign(path=[list(map(float, forecaster(list(x), steps))) for x in b[array]])
+            out, sizes = pd.Series([None] * len(b), index=b.index, dtype=object), b[array].map(len)
+            for n, part in b.groupby(sizes, sort=False):
+                out[part.index] = list(forecaster(np.array(part[array].tolist(), float).reshape(len(part), n), steps))
+            yield b[list(keys)].assign(path=out)
 
     kinds = ", ".join(f"`{k}` {windows.schema[k].dataType.simpleString()}" for k in keys)
     return windows.select(*keys, array).mapInPandas(run, f"{kinds}, path array<double>")

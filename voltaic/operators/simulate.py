@@ -9,24 +9,36 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .stats import exact_percentiles
+
 BLOCK_HOURS = 6
 PATHS, HOURS = 1_000, 720
 
 
 def chunk_paths(rng: np.random.Generator, size: int, hours: int, x0: float, pi: np.ndarray, p: np.ndarray, theta: np.ndarray, mu: np.ndarray, sigma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log prices and regimes of ``size`` paths: six Euler steps in a regime, then one draw for the next."""
-    cdf = np.cumsum(p, axis=1)
-    x_out, s_out = np.zeros((size, hours)), np.zeros((size, -(-hours // BLOCK_HOURS)), np.int64)
-    for i in range(size):
-        state, x = int(rng.choice(len(pi), p=pi)), x0
-        for block in range(s_out.shape[1]):
-            s_out[i, block] = state
-            noise = rng.standard_normal(BLOCK_HOURS)
-            for k in range(min(BLOCK_HOURS, hours - block * BLOCK_HOURS)):
-                x += theta[state] * (mu[state] - x) + sigma[state] * noise[k]
-                x_out[i, block * BLOCK_HOURS + k] = x
-            state = min(int(np.searchsorted(cdf[state], rng.random())), len(pi) - 1)
-    return x_out, s_out
+    """Log prices by path and hour, and regimes by path and block; all paths advance together.
+
+    A regime holds for a block of hours. Within it dx = theta (mu - x) dt + sigma dW, so that with steps of an hour the distance to mu shrinks by 1 - theta and gets noise.
+    """
+    blocks = -(-hours // BLOCK_HOURS)
+    cumulative = np.cumsum(np.vstack([p, pi]), axis=1)
+    last = len(pi) - 1
+
+    def draw(rows: np.ndarray) -> np.ndarray:
+        return np.minimum((rng.random(size)[:, None] > cumulative[rows]).sum(axis=1), last)
+
+    regime = np.empty((size, blocks), np.int64)
+    regime[:, 0] = draw(np.full(size, last + 1))
+    for b in range(1, blocks):
+        regime[:, b] = draw(regime[:, b - 1])
+    by_hour = np.repeat(regime, BLOCK_HOURS, axis=1)[:, :hours]
+    noise = sigma[by_hour] * rng.standard_normal((size, hours))
+    keep, level = 1 - theta[by_hour], theta[by_hour] * mu[by_hour]
+    price, x = np.empty((size, hours)), np.full(size, float(x0))
+    for h in range(hours):
+        x = keep[:, h] * x + level[:, h] + noise[:, h]
+        price[:, h] = x
+    return price, regime
 
 
 def simulate(spark: SparkSession, paths: int, hours: int, x0: float, pi, p, theta, mu, sigma, seed: int = 42, chunks: int = 10) -> DataFrame:
@@ -58,12 +70,10 @@ def summary(paths: DataFrame, x: str = "log_lmp", hour: str = "hour") -> DataFra
     at = (0.05, 0.25, 0.5, 0.75, 0.95)
     priced = paths.withColumn("_p", F.exp(x))
     names = [f"q{round(q * 100):02d}" for q in at]
-    q = priced.groupBy(hour).agg(
-        *[F.percentile(x, F.lit(a)).alias(n) for a, n in zip(at, names, strict=True)],
-        *[F.percentile("_p", F.lit(a)).alias(f"lmp_{n}") for a, n in zip(at, names, strict=True)],
-        F.avg("_p").alias("lmp_mean"),
-        F.stddev_pop("_p").alias("lmp_std"),
-    )
+    q = priced.groupBy(hour).agg(F.avg("_p").alias("lmp_mean"), F.stddev_pop("_p").alias("lmp_std"))
+    for c, prefix in ((x, ""), ("_p", "lmp_")):
+        q = q.join(exact_percentiles(priced, [hour], c, {f"{prefix}{n}": a for a, n in zip(at, names, strict=True)}), hour)
+    q = q.select(hour, *names, *[f"lmp_{n}" for n in names], "lmp_mean", "lmp_std")
     tail = priced.join(q.select(hour, "lmp_q05"), hour).where(F.col("_p") <= F.col("lmp_q05")).groupBy(hour).agg(F.avg("_p").alias("cvar_95"))
     return q.join(tail, hour, "left").withColumn("var_95", F.col("lmp_q05"))
 
@@ -73,3 +83,15 @@ def regime_frequency(paths: DataFrame, step: str = "step", regime: str = "regime
     n = paths.groupBy(step, regime).agg(F.count("*").alias("n"))
     total = n.groupBy(step).agg(F.sum("n").alias("total"))
     return n.join(total, step).select(step, regime, (F.col("n") / F.col("total")).alias("share"))
+
+
+def terminal(paths: DataFrame, at: int, x: str = "log_lmp", hour: str = "hour") -> DataFrame:
+    """The summary of one hour, with the 95th percentile and the median of exp(x)."""
+    last = paths.where(F.col(hour) == at)
+    return summary(last, x, hour).select(hour, "lmp_q05", "lmp_q50", "lmp_q95", "lmp_mean", "lmp_std", "var_95", "cvar_95")
+
+
+def wide(paths: DataFrame, hours: int, x: str = "log_lmp", prefix: str = "h") -> DataFrame:
+    """A row for each path, with a column for each hour (``h001`` on)."""
+    row = paths.groupBy("traj_id").agg(F.map_from_entries(F.collect_list(F.struct("hour", x))).alias("m"))
+    return row.select("traj_id", *[F.element_at("m", F.lit(h).cast(paths.schema["hour"].dataType)).cast("float").alias(f"{prefix}{h:03d}") for h in range(1, hours + 1)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -236,11 +237,11 @@ def periodogram_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.hourly(spark, sf_dir).select("series", "ts", "price").groupBy("series").applyInPandas(run, "series string, period double, power double")
 
 
-@_query(f"WITH {A.H}, r AS (SELECT series, ts, {_LP} - lag({_LP}) {_W} AS r FROM h) SELECT series, {_SQL_TS.format('ts')} AS ts, round(stddev_samp(r) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 6) AS vol_24 FROM r")
+@_query(f"WITH {A.H}, r AS (SELECT series, ts, {_LP} - lag({_LP}) {_W} AS r FROM h) SELECT series, {_SQL_TS.format('ts')} AS ts, round(stddev_samp(r) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 6) AS vol_24, round(stddev_samp(r) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN 167 PRECEDING AND CURRENT ROW), 6) AS vol_168 FROM r")
 def rolling_vol_24(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = series.order(["series"], ["ts"])
     r = A.hourly(spark, sf_dir).select("series", "ts", series.log_return("price", w).alias("r"))
-    return r.select("series", _ts().alias("ts"), _r(F.stddev_samp("r").over(w.rowsBetween(-23, 0))).alias("vol_24"))
+    return r.select("series", _ts().alias("ts"), *[_r(F.stddev_samp("r").over(w.rowsBetween(1 - n, 0))).alias(f"vol_{n}") for n in (24, 168)])
 
 
 @_query(
@@ -248,7 +249,7 @@ def rolling_vol_24(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def robust_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = A.hourly(spark, sf_dir)
-    q = h.where(F.col("ts") <= F.lit("2024-01-20").cast("timestamp_ntz")).groupBy("series").agg(F.percentile("price", F.lit(0.5)).alias("med"), (F.percentile("price", F.lit(0.75)) - F.percentile("price", F.lit(0.25))).alias("iqr"))
+    q = stats.exact_percentiles(h.where(F.col("ts") <= F.lit("2024-01-20").cast("timestamp_ntz")), ["series"], "price", {"q25": 0.25, "med": 0.5, "q75": 0.75}).withColumn("iqr", F.col("q75") - F.col("q25"))
     scaled = F.try_divide(F.col("price") - F.col("med"), F.col("iqr"))
     return h.join(q, "series").select("series", _ts().alias("ts"), _r(F.greatest(F.lit(-5.0), F.least(F.lit(5.0), scaled))).alias("scaled"))
 
@@ -276,7 +277,9 @@ def last_log_price(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {A.M} SELECT CASE WHEN month(ts) IN (12, 1, 2) THEN 'Winter' WHEN month(ts) IN (3, 4, 5) THEN 'Spring' WHEN month(ts) IN (6, 7, 8) THEN 'Summer' ELSE 'Autumn' END AS season, hour(ts)::INT AS hour, round(quantile_cont(total, 0.25), 5) AS q25, round(quantile_cont(total, 0.5), 5) AS q50, round(quantile_cont(total, 0.75), 5) AS q75 FROM m GROUP BY 1, 2")
 def season_hour_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = A.mix(spark, sf_dir)
-    return m.groupBy(stats.season(F.col("ts"), "Autumn").alias("season"), F.hour("ts").alias("hour")).agg(*[_r(F.percentile("total", F.lit(p)), 5).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+    rows = m.select(stats.season(F.col("ts"), "Autumn").alias("season"), F.hour("ts").alias("hour"), "total")
+    q = stats.exact_percentiles(rows, ["season", "hour"], "total", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return q.select("season", "hour", *[_r(n, 5).alias(n) for n in ("q25", "q50", "q75")])
 
 
 @_query(f"WITH {A.M}, {A.SHARES} SELECT strftime(ts, '%Y-%m') AS month, {', '.join(f'round(avg({x}), 6) AS {x}' for x in _SHARE)} FROM s GROUP BY 1")
@@ -304,9 +307,10 @@ def describe_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.describe(A.mix(spark, sf_dir), A.EVENTS, 6)
 
 
-@_query("SELECT (floor(value / 10.0) + 1)::BIGINT AS bin, count(*) AS n FROM events WHERE value >= 0 AND value < 1000 GROUP BY 1")
+@_query("SELECT (CASE WHEN value < 0 THEN 0 WHEN value >= 1000 THEN 101 ELSE floor(value / 10.0) + 1 END)::BIGINT AS bin, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1")
 def histogram_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.histogram(A.table(spark, sf_dir, "events").where("value >= 0 and value < 1000"), F.col("value"), 0.0, 1000.0, 100)
+    """Values below 0 and from 1,000 on are in bins of their own, 0 and 101."""
+    return stats.histogram(A.table(spark, sf_dir, "events"), F.col("value"), 0.0, 1000.0, 100)
 
 
 @_query("SELECT (floor((log10(greatest(value, 0.001)) + 3) / 8.0 * 79) + 1)::BIGINT AS bin, count(*) AS n FROM events GROUP BY 1")
@@ -316,13 +320,14 @@ def histogram_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT event_type, round(quantile_cont(value, 0.99), 5) AS p99, round(quantile_cont(value, 0.025), 5) AS p025, round(quantile_cont(value, 0.975), 5) AS p975 FROM events GROUP BY 1")
 def spike_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.table(spark, sf_dir, "events").groupBy("event_type").agg(*[_r(F.percentile("value", F.lit(p)), 5).alias(n) for p, n in ((0.99, "p99"), (0.025, "p025"), (0.975, "p975"))])
+    q = stats.exact_percentiles(A.table(spark, sf_dir, "events"), ["event_type"], "value", {"p99": 0.99, "p025": 0.025, "p975": 0.975})
+    return q.select("event_type", *[_r(n, 5).alias(n) for n in ("p99", "p025", "p975")])
 
 
 @_query("WITH q AS (SELECT quantile_cont(value, 0.98) AS p98 FROM events) SELECT event_id, round(least(value, p98), 6) AS clipped FROM events CROSS JOIN q")
 def percentile_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = A.table(spark, sf_dir, "events")
-    top = e.agg(F.percentile("value", F.lit(0.98)).alias("p98")).first().p98  # one number
+    top = stats.exact_percentiles(e, [], "value", {"p98": 0.98}).first().p98  # one number
     return e.select("event_id", _r(F.least("value", F.lit(top))).alias("clipped"))
 
 
@@ -375,16 +380,12 @@ _D = "sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x:
     q AS (SELECT vec_id, max(CASE WHEN own = lab THEN s / n END) AS a, min(CASE WHEN own <> lab THEN s / n END) AS b FROM p GROUP BY 1) SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM q"""
 )
 def silhouette_euclid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, x, labels = _points(spark, sf_dir)
-    return spark.createDataFrame([(round(cluster.silhouette(x, labels), 6),)], "silhouette double")
+    return cluster.mean_silhouette(A.table(spark, sf_dir, "embeddings")).withColumn("silhouette", _r("silhouette"))
 
 
 @_query(f"WITH d AS (SELECT a.vec_id, b.vec_id AS other, {_D} AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), other) AS rank FROM d) SELECT vec_id, other, rank::INT AS rank, round(d, 5) AS distance FROM r WHERE rank <= 5")
 def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids, x, _ = _points(spark, sf_dir)
-    at, dist = cluster.knn(x, 5)
-    rows = [(ids[i], ids[int(j)], k + 1, round(float(d), 5)) for i in range(len(ids)) for k, (j, d) in enumerate(zip(at[i], dist[i], strict=True))]
-    return spark.createDataFrame(rows, "vec_id long, other long, rank int, distance double")
+    return cluster.neighbours(A.table(spark, sf_dir, "embeddings"), 5).select("vec_id", "other", "rank", _r("distance", 5).alias("distance"))
 
 
 def _trial(spark: SparkSession, sf_dir: str, f: Callable, schema: str) -> DataFrame:
@@ -470,10 +471,10 @@ def grid_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     def trial(n_neighbors, min_dist, min_cluster_size) -> dict:
         return cluster.layout_trial(points.value, int(n_neighbors), float(min_dist), int(min_cluster_size))
 
-    result = "n_neighbors long, min_dist string, min_cluster_size long, n_clusters long, noise double, silhouette double, status string"
+    result = "n_neighbors long, min_dist string, min_cluster_size long, n_clusters long, noise double, silhouette double, validity double, status string"
     todo = cluster.grid(spark, **_GRID)
     found = cluster.run_grid(todo.repartition(todo.count(), *_GRID), None, list(_GRID), trial, result).withColumn("score", cluster.gated(F.col("silhouette"), F.col("noise")))
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.desc_nulls_last("score"), *_GRID)))  # over one row per combination
+    return cluster.ranked(found, "score", list(_GRID))
 
 
 # --- Markov -------------------------------------------------------------------------------------------------------------------
@@ -526,20 +527,28 @@ def sojourn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markov.sojourn(_matrix(spark, sf_dir)).withColumn("sojourn_h", _r("sojourn_h", 5))
 
 
-def _half_sql(name: str, cond: str) -> str:
-    return _PAIR_SQL.replace("FROM events)", f"FROM events WHERE {cond})", 1).replace("l AS (", f"l{name} AS (", 1).replace("FROM l WINDOW", f"FROM l{name} WINDOW").replace("FROM l WHERE", f"FROM l{name} WHERE").replace(" k AS", f" k{name} AS").replace("FROM k ", f"FROM k{name} ").replace(" pr AS", f" pr{name} AS").replace("JOIN pr ON pr.from_label", f"JOIN pr{name} pr ON pr.from_label").replace(" lab AS", f" lab{name} AS").replace("FROM lab x CROSS JOIN lab y", f"FROM lab{name} x CROSS JOIN lab{name} y").replace(" mat AS", f" mat{name} AS").replace("FROM mat)", f"FROM mat{name})").replace(" tm AS", f" tm{name} AS")
+def _half_sql(half: int) -> str:
+    """The names of the matrix's tables with a suffix, over one half of each user's rows."""
+    ranked = f"(SELECT *, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= count(*) OVER (PARTITION BY user_id) // 2 THEN 1 ELSE 2 END AS half FROM events) WHERE half = {half})"
+    sql = _PAIR_SQL.replace("FROM events)", f"FROM {ranked}", 1)
+    for name in ("l", "k", "pr", "lab", "mat", "tm"):
+        sql = re.sub(rf"\b{name}\b(?=( AS \(| WINDOW| WHERE|\)|\.| x\b| y\b| ON ))", f"{name}{half}", sql)
+    return sql
 
 
 @_query(
-    f"WITH {_half_sql('1', 'user_id % 2 = 0')}, {_half_sql('2', 'user_id % 2 = 1')}, j AS (SELECT a.p AS p1, b.p AS p2 FROM tm1 a FULL JOIN tm2 b USING (from_label, to_label)), d AS (SELECT sqrt(sum((p1 - p2) * (p1 - p2))) / ((sqrt(sum(p1 * p1)) + sqrt(sum(p2 * p2))) / 2 + 1e-12) AS d FROM j) SELECT round(d, 6) AS distance, d < 0.15 AS stationary FROM d"
+    f"WITH {_half_sql(1)}, {_half_sql(2)}, j AS (SELECT a.p AS p1, b.p AS p2 FROM tm1 a FULL JOIN tm2 b USING (from_label, to_label)), d AS (SELECT sqrt(sum((p1 - p2) * (p1 - p2))) / ((sqrt(sum(p1 * p1)) + sqrt(sum(p2 * p2))) / 2 + 1e-12) AS d FROM j) SELECT round(d, 6) AS distance, d < 0.15 AS stationary FROM d"
 )
 def stationarity_frobenius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def half(r: int) -> DataFrame:
-        part = A.labels(spark, sf_dir).where(F.col("user_id") % 2 == r)
+    """The matrices of the first and the second half of each user's rows; pairs across the border count in neither."""
+    split = series.halves(A.labels(spark, sf_dir), ["user_id"], ["ts", "event_id"])
+
+    def half(n: int) -> DataFrame:
+        part = split.where(F.col("half") == n)
         pairs = series.successors(part, ["user_id"], "ts", "label", 100.0, "error", ["ts", "event_id"])
         return markov.transition_matrix(pairs, part.where("label <> 'error'").select("label").distinct())
 
-    return markov.frobenius(half(0), half(1)).withColumn("distance", _r("distance"))
+    return markov.frobenius(half(1), half(2)).withColumn("distance", _r("distance"))
 
 
 _RUNS = f"{A.L}, i AS (SELECT user_id, label, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, label ORDER BY ts, event_id) AS g FROM l), rn AS (SELECT user_id, label, count(*) AS length FROM i WHERE label <> 'error' GROUP BY user_id, label, g)"
@@ -550,32 +559,36 @@ def run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.runs(A.labels(spark, sf_dir), ["user_id"], ["ts", "event_id"], "label", "error").groupBy("label", "length").agg(F.count("*").alias("n"))
 
 
+_SEASONS = {"winter": (12, 1, 2), "spring": (3, 4, 5), "summer": (6, 7, 8), "fall": (9, 10, 11)}
+
+
 @_query(
-    f"""WITH {_PAIR_SQL}, {_RUNS[len(A.L) + 2:]}, r AS (SELECT label, avg(length) * 6 AS md, quantile_cont(length, 0.5) * 6 AS qd FROM rn GROUP BY 1),
-    c AS (SELECT label, count(*) AS n_obs, avg(value) AS mean_lmp, quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.05) AS p5, quantile_cont(value, 0.95) AS p95, 100 * avg((month(ts) IN (12, 1, 2))::INT) AS wi, 100 * avg((hour(ts) BETWEEN 8 AND 21)::INT) AS pk FROM l WHERE label <> 'error' GROUP BY 1)
-    SELECT c.label, n_obs, round(100.0 * n_obs / sum(n_obs) OVER (), 2) AS pct_time, round(md, 1) AS mean_duration_h, round(qd, 1) AS median_duration_h, round(mean_lmp, 2) AS mean_lmp, round(med, 2) AS median_lmp, round(p5, 2) AS p5_lmp, round(p95, 2) AS p95_lmp, round(wi, 1) AS winter_pct, round(pk, 1) AS peak_pct, 'Winter' AS dominant_season, round(p, 4) AS self_transition, round(6 / (1 - p), 4) AS mean_sojourn_h
-    FROM c JOIN r USING (label) JOIN tm ON tm.from_label = c.label AND tm.to_label = c.label"""
+    f"""WITH {_PAIR_SQL}, {_POWERS}, {_RUNS[len(A.L) + 2:]}, r AS (SELECT label, avg(length) * 6 AS md, quantile_cont(length, 0.5) * 6 AS qd FROM rn GROUP BY 1), s AS (SELECT to_label AS label, avg(p) AS pi FROM m6 GROUP BY 1),
+    c AS (SELECT label, count(*) AS n_obs, avg(value) AS mean_lmp, quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.05) AS p5, quantile_cont(value, 0.95) AS p95, {', '.join(f'100 * avg((month(ts) IN {m})::INT) AS {n}' for n, m in _SEASONS.items())}, 100 * avg((hour(ts) BETWEEN 8 AND 21)::INT) AS pk FROM l WHERE label <> 'error' GROUP BY 1)
+    SELECT c.label, n_obs, round(100.0 * n_obs / sum(n_obs) OVER (), 2) AS pct_time, round(md, 1) AS mean_duration_h, round(qd, 1) AS median_duration_h, round(mean_lmp, 2) AS mean_lmp, round(med, 2) AS median_lmp, round(p5, 2) AS p5_lmp, round(p95, 2) AS p95_lmp, {', '.join(f'round({n}, 1) AS {n}_pct' for n in _SEASONS)}, round(pk, 1) AS peak_pct,
+    CASE {' '.join(f"WHEN {n} = greatest({', '.join(_SEASONS)}) THEN '{n.title()}'" for n in _SEASONS)} END AS dominant_season, round(p, 4) AS self_transition, round(6 / (1 - p), 1) AS mean_sojourn_h, round(pi, 4) AS stationary_prob
+    FROM c JOIN r USING (label) JOIN s USING (label) JOIN tm ON tm.from_label = c.label AND tm.to_label = c.label"""
 )
 def regime_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.labels(spark, sf_dir).where("label <> 'error'")
     lengths = series.runs(A.labels(spark, sf_dir), ["user_id"], ["ts", "event_id"], "label", "error").groupBy("label").agg(F.avg("length").alias("md"), F.percentile("length", F.lit(0.5)).alias("qd"))
-    names = ["Winter", "Spring", "Summer", "Fall"]
-    season = stats.season(F.col("ts"))
+    month = F.month("ts")
     by = rows.groupBy("label").agg(
         F.count("*").alias("n_obs"),
         F.avg("value").alias("mean_lmp"),
-        *[F.percentile("value", F.lit(p)).alias(n) for p, n in ((0.5, "median_lmp"), (0.05, "p5_lmp"), (0.95, "p95_lmp"))],
-        *[(F.avg((season == s).cast("int")) * 100).alias(s) for s in names],
+        *[(F.avg(month.isin(*m).cast("int")) * 100).alias(s) for s, m in _SEASONS.items()],
         (F.avg(F.hour("ts").between(8, 21).cast("int")) * 100).alias("peak_pct"),
     )
-    own = _matrix(spark, sf_dir).where("from_label = to_label").select(F.col("from_label").alias("label"), "p")
+    prices = stats.exact_percentiles(rows, ["label"], "value", {"median_lmp": 0.5, "p5_lmp": 0.05, "p95_lmp": 0.95})
+    matrix = _matrix(spark, sf_dir)
+    own = matrix.where("from_label = to_label").select(F.col("from_label").alias("label"), "p")
     whole = Window.partitionBy()  # over one row per label
-    out = by.join(F.broadcast(lengths), "label").join(F.broadcast(own), "label")
+    out = by.join(prices, "label").join(F.broadcast(lengths), "label").join(F.broadcast(own), "label").join(F.broadcast(markov.stationary_distribution(matrix)), "label")
     return out.select(
         "label", "n_obs", _r(100.0 * F.col("n_obs") / F.sum("n_obs").over(whole), 2).alias("pct_time"), _r(F.col("md") * 6, 1).alias("mean_duration_h"), _r(F.col("qd") * 6, 1).alias("median_duration_h"),
-        *[_r(c, 2).alias(c) for c in ("mean_lmp", "median_lmp", "p5_lmp", "p95_lmp")], _r("Winter", 1).alias("winter_pct"), _r("peak_pct", 1).alias("peak_pct"),
-        markov.first_best({s: s for s in names}).alias("dominant_season"), _r("p", 4).alias("self_transition"), _r(F.when(F.col("p") < 1, 6 / (1 - F.col("p"))).otherwise(float("inf")), 4).alias("mean_sojourn_h"),
-    )
+        *[_r(c, 2).alias(c) for c in ("mean_lmp", "median_lmp", "p5_lmp", "p95_lmp")], *[_r(s, 1).alias(f"{s}_pct") for s in _SEASONS], _r("peak_pct", 1).alias("peak_pct"),
+        markov.first_best({s.title(): s for s in _SEASONS}).alias("dominant_season"), _r("p", 4).alias("self_transition"), _r(F.when(F.col("p") < 1, 6 / (1 - F.col("p"))).otherwise(float("inf")), 1).alias("mean_sojourn_h"), _r("pi", 4).alias("stationary_prob"),
+    )
 
 
 @_query("SELECT label, round(avg(embedding[1]), 6) AS x, round(avg(embedding[2]), 6) AS y, count(*) AS n FROM embeddings GROUP BY 1")
@@ -588,7 +601,7 @@ def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DRIFT = f"{A.H}, lr AS (SELECT series, ts, {_LP} AS lp, {_LP} - lag({_LP}) {_W} AS r FROM h), dr AS (SELECT series, ts, lp, " + ", ".join(f"CASE WHEN count(r) OVER f{k} = {k} THEN sum(r) OVER f{k} END AS d{k}" for k in (1, 6, 24)) + " FROM lr WINDOW " + ", ".join(f"f{k} AS (PARTITION BY series ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND {k} FOLLOWING)" for k in (1, 6, 24)) + ")"
 _LONG = "lo AS (" + " UNION ALL ".join(f"SELECT series, {k} AS horizon_h, lp, d{k} AS drift FROM dr" for k in (1, 6, 24)) + ")"
-_FIT = "fit AS (SELECT series, horizon_h, regr_count(drift, lp)::BIGINT AS n_obs, regr_slope(drift, lp) AS slope, regr_intercept(drift, lp) AS intercept, regr_r2(drift, lp) AS r2 FROM lo GROUP BY 1, 2 HAVING regr_count(drift, lp) >= 10)"
+_FIT = "fit AS (SELECT series, horizon_h, regr_count(drift, lp)::BIGINT AS n_obs, regr_slope(drift, lp) AS slope, regr_intercept(drift, lp) AS intercept, regr_r2(drift, lp) AS r2, corr(drift, lp) AS r, sqrt((1 - regr_r2(drift, lp)) * regr_syy(drift, lp) / ((regr_count(drift, lp) - 2) * regr_sxx(drift, lp))) AS stderr FROM lo GROUP BY 1, 2 HAVING regr_count(drift, lp) >= 10)"
 
 
 def _drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -607,9 +620,9 @@ def drift_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drift(spark, sf_dir).select("series", _ts().alias("ts"), _r("lp").alias("log_price"), *[_r(f"d{h}").alias(f"drift_{h}h") for h in (1, 6, 24)])
 
 
-@_query(f"WITH {_DRIFT}, {_LONG}, {_FIT} SELECT series, horizon_h, n_obs, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2 FROM fit")
+@_query(f"WITH {_DRIFT}, {_LONG}, {_FIT} SELECT series, horizon_h, n_obs, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, round(r, 6) AS r, round(stderr, 6) AS stderr FROM fit")
 def ols_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fits(spark, sf_dir).select("series", "horizon_h", "n_obs", *[_r(c).alias(c) for c in ("slope", "intercept", "r2")])
+    return _fits(spark, sf_dir).select("series", "horizon_h", "n_obs", *[_r(c).alias(c) for c in ("slope", "intercept", "r2", "r", "stderr")])
 
 
 @_query(f"WITH {_DRIFT}, {_LONG}, {_FIT} SELECT series, horizon_h, round(CASE WHEN slope < 0 THEN -slope / horizon_h END, 6) AS theta, round(CASE WHEN slope < 0 THEN -intercept / slope END, 5) AS mu, round(CASE WHEN slope < 0 THEN ln(2) / (-slope / horizon_h) END, 5) AS half_life, slope < 0 AS valid FROM fit")
@@ -687,3 +700,6 @@ def var_cvar(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_MC}, n AS (SELECT hour, event_type, count(*) AS n FROM mc GROUP BY 1, 2) SELECT hour::INT AS hour, event_type, round(n / sum(n) OVER (PARTITION BY hour), 9)::DOUBLE AS share FROM n")
 def regime_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.regime_frequency(_paths(spark, sf_dir), "hour", "event_type").withColumn("share", _r("share", 9))
+
+
+from . import figures  # noqa: E402, F401  registers its queries

@@ -2,41 +2,56 @@
 
 from __future__ import annotations
 
-import csv
-import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def parse_tagged(text: str) -> tuple[list[str], list[list[str]]]:
-    """Header and rows of a tagged-line CSV: the first H line names columns, D lines are rows; short rows are padded, long ones cut."""
-    header: list[str] = []
-    rows = []
-    for line in csv.reader(io.StringIO(text)):
-        cells = [c.strip() for c in line]
-        if not cells:
-            continue
-        if cells[0] == "H" and not header:
-            header = cells[1:]
-        elif cells[0] == "D" and header:
-            rows.append((cells[1:] + [""] * len(header))[: len(header)])
-    return header, rows
+#: A comma outside of quotes.
+_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
 def read_tagged(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Rows of all tagged files under a path, as strings, with the file they come from. Absent columns are null."""
-    schema = ", ".join(["file string", *(f"`{c}` string" for c in columns)])
+    """D lines of all tagged files under a path, as strings, with the file they come from. A file's first H line names its columns; columns that a file lacks are
+    null, values that a line lacks are empty, further values are left out, as are files without a header."""
+    line = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    cell = F.transform(F.split("value", _COMMA), lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"), '""', '"'))
+    cells = line.select("file", "block", "at", cell.alias("cells")).withColumn("tag", F.get("cells", F.lit(0))).withColumn("cells", F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))))
+    header = cells.where("tag = 'H'").groupBy("file").agg(F.min(F.struct("block", "at", "cells"))["cells"].alias("names"))
+    rows = cells.where("tag = 'D'").join(F.broadcast(header), "file")  # one header a file
+    value = lambda c: F.when(F.array_contains("names", c), F.coalesce(F.get("cells", F.array_position("names", c).cast("int") - 1), F.lit("")))
+    return rows.select("file", *[value(c).alias(c) for c in columns])
+
+
+def fetch_pages(fetch: Callable[[int, int], list], size: int = 5_000) -> Iterator:
+    """Records of pages by offset, up to a short, empty or failing one; pages read before it are kept."""
+    offset = 0
+    while True:
+        try:
+            page = fetch(offset, size)
+        except OSError:
+            return
+        yield from page
+        if len(page) < size:
+            return
+        offset += size
+
+
+def read_paged(spark: SparkSession, names: Sequence[str], fetch: Callable[[str, int, int], list], schema: str, size: int = 5_000) -> DataFrame:
+    """Records of a paged service, a task for each name; ``fetch(name, offset, size)`` gives a page of rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for file, text in zip(b["file"], b["value"], strict=True):
-                header, rows = parse_tagged(text)
-                yield pd.DataFrame(rows, columns=header).reindex(columns=columns).astype(object).assign(file=file)[["file", *columns]]
+            for name in b["name"]:
+                pages = fetch_pages(lambda offset, n, name=name: fetch(name, offset, n), size)
+                while part := list(islice(pages, size)):
+                    yield pd.DataFrame(part, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").mapInPandas(run, schema)
+    wanted = spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, len(names)), "name")
+    return wanted.mapInPandas(run, schema)
 
 
 def hub_rows(df: DataFrame, hub: str, name: str = "Location Name", kind: str = "Location Type", group: str = "file") -> DataFrame:
@@ -79,3 +94,23 @@ def write_json_row(df: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
+
+
+def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV table of results with a header, as ``write_csv`` makes it."""
+    return spark.read.schema(schema).csv(path, header=True)
+
+
+def purge(spark: SparkSession, *paths: str) -> None:
+    """Delete a stage's own outputs, for a fresh start."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def concat(*tables: DataFrame) -> DataFrame:
+    """Rows of all tables, matched by name; columns that one lacks are null."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
