@@ -290,11 +290,36 @@ def test_substrings(docs, rows, group):
     assert any(r[2] for r in got)
 
 
+def test_tree_nodes_are_words():
+    rng = random.Random(3)
+    for window in (1, 2, 3, 7, 8, 35):
+        lines = [b" ".join(rng.choice([b"a", b"b", b"ab"]) for _ in range(rng.randrange(1, 80))) for _ in range(40)]
+        node, sizes = substring_dedup.window_nodes(lines, window)
+        paths = [tuple(x.split()[i : i + window]) for x in lines for i in range(len(x.split()) - window + 1)]
+        assert len(paths) == len(node) == sizes.sum()
+        assert len(set(zip(paths, node.tolist()))) == len(set(paths)) == len(set(node.tolist()))
+    assert substring_dedup.window_nodes([], 35)[0].tolist() == []
+
+
+def test_substrings_of_a_hot_prefix(spark):
+    """Ten words that begin very many passages, a few of which repeat."""
+    rng = random.Random(7)
+    head = " ".join(f"h{i}" for i in range(10))
+    tails = [" ".join(f"t{rng.randrange(10**6)}" for _ in range(40)) for _ in range(6)]
+    rows = [(i, " ".join([f"b{rng.randrange(10**6)}" for _ in range(5)] + [head] + ([tails[i % 6]] if i % 50 == 0 else [f"r{rng.randrange(10**6)}" for _ in range(30)]))) for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for group in (4_000, 100):
+        got = [tuple(r) for r in substring_dedup.repeated_spans(d, group=group).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
+        assert sorted(got) == sorted(brute_substrings(rows))
+
+
 def test_substring_texts(docs, rows):
     out = substring_dedup.dedup_texts(docs)
     assert out.schema == docs.schema
     n = collections.Counter((i, h) for i, _, _, h in brute_substrings(rows))
-    assert collections.Counter((r.doc_id, hashlib.sha256(b" ".join(words(r.text))).hexdigest()) for r in out.collect()) == n
+    got = out.collect()
+    assert collections.Counter((r.doc_id, hashlib.sha256(b" ".join(words(r.text))).hexdigest()) for r in got) == n
+    assert sum(r.text is None for r in got) == sum(t is None for _, t in rows)
 
 
 def test_quality_rules_match_sql(docs, rows):

@@ -3,19 +3,19 @@
 A window is ``window`` consecutive words of one document. Every word that lies in a window whose word sequence starts a second time anywhere,
 in the same document or another, is removed; windows are judged on the input.
 
-Suffixes are grouped by a prefix key, and each group's tree is cut at the depth of a window: a node at that depth with two suffixes below is
-a repeat, and all its suffixes begin a repeated window. The key is chosen so that few suffixes need to travel:
+Suffixes of the texts (from a word on) are put into groups by a prefix, each small enough for memory, and each group's suffixes make a tree of words, cut at the depth of a window, as nothing
+below that matters. A node at that depth with two suffixes or more is a repeat, its path are the window's words; runs of such suffixes, merged, are the maximal repeats.
 
-1. The anchor of a window is its run of ``GRAM`` words with the least hash, the first of equals. Equal windows have equal anchors at equal
-   places, so all suffixes that begin equal windows meet under the anchor's key. Anchors that occur once in all texts have no repeat below them;
-   a count over all texts finds these, and none of their windows go further. No repeat is lost.
-2. The other windows go to their anchor's group, packed: one row per anchor occurrence with the hashes of its windows. Groups are sorted and read as a stream; the
-   nodes of a group are runs of equal (place, window hash).
-3. A group that wouldn't fit in memory (anchors that occur more than ``GROUP`` times) gets longer prefixes: its windows are counted one by
-   one under the hash of all their words, with the counts combined before the shuffle.
+1. Suffixes that begin windows are named by a prefix further on: the anchor of a window is its run of ``GRAM`` words with the least hash, the first of equals. Equal windows have
+   equal anchors at equal places, so all suffixes that begin equal windows meet in the group of the prefix that follows the anchor, and only one suffix in about fifteen is a row.
+   Anchors that occur once in all texts have no repeat below them; a count over all texts finds these, and none of their suffixes go further. No repeat is lost.
+2. A row of a group holds the words from the first to the last window of an anchor's occurrence. Nodes are made level by level: those of depth 1 are the words themselves, a node of
+   depth 2h is a pair of nodes of depth h, and the last level takes two that overlap. So suffixes have one node if their words are the same, not just their hashes.
+3. A group that wouldn't fit in memory (an anchor that occurs more than ``GROUP`` times) gets longer prefixes, up to the depth of a window at once: lengths between would
+   send each suffix as a row of its own with its words, and those under a hot passage all have the same. At that length a group is one node and needs no tree, only the
+   count of its suffixes, which is combined before the shuffle, under 128 bits of its words.
 
-Equal texts are one text throughout, with a copy count, so that copies never meet in one task. A node's path is known by
-64-bit hashes of the anchor and of the window's words, not by the words themselves.
+Equal texts (by 128-bit digests) are one text throughout, with a copy count, so that copies never meet in one task.
 
 Null, empty and blank texts have no words. Texts shorter than a window keep all their words. Repeated rows count as occurrences of their own.
 Null keys and further columns are carried along; see ``repeated_spans`` and ``dedup_texts`` for the columns that are set.
@@ -29,12 +29,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pandas import factorize
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices, with_columns
-from .common import gram_hashes, small_batches, sorted_groups, stored, texts, word_hashes
+from .common import few, gram_hashes, mix, small_batches, sorted_groups, stored, texts, word_hashes
 
 #: Words of an anchor.
 GRAM = 8
@@ -43,6 +44,7 @@ GROUP = 4_000
 
 _U = np.uint64
 _STEP = 0xA0761D6478BD642F
+_SECOND = _U(0x5851F42D4C957F2D)
 _BACK = pow(_STEP, -1, 1 << 64)
 _tables = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
@@ -75,6 +77,31 @@ def anchors(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.
     return grams, view.argmin(axis=1) + np.arange(n)
 
 
+def window_nodes(lines: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tree node at the depth of a window that each window of each line of words ends in, and how many windows a line has; a node is a number, the same for the same words."""
+    code: dict[bytes, int] = {}
+    words = [x.split(b" ") for x in lines]
+    count = np.fromiter(map(len, words), np.int64, len(words))
+    node = np.fromiter((code.setdefault(w, len(code)) for x in words for w in x), np.int64, int(count.sum()))
+    # A path over the end of a line leads to no window, so lines needn't be kept apart.
+    depth = 1
+    while 2 * depth <= window:
+        node = _paired(node, node, depth)
+        depth *= 2
+    if depth < window:
+        node = _paired(node, node, window - depth)
+    sizes = np.maximum(count - window + 1, 0)
+    begin = np.repeat(np.cumsum(count) - count, sizes)
+    return node[begin + np.arange(len(begin)) - np.repeat(np.cumsum(sizes) - sizes, sizes)], sizes
+
+
+def _paired(first: np.ndarray, second: np.ndarray, apart: int) -> np.ndarray:
+    """Numbers of the pairs of a node and the one so many words on."""
+    if len(first) <= apart:
+        return first[:0]
+    return factorize(first[:-apart] * (int(second.max()) + 1) + second[apart:])[0]
+
+
 def _digest(line: bytes) -> tuple[int, int]:
     d = hashlib.blake2b(line, digest_size=16).digest()
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
@@ -170,78 +197,75 @@ def repeated_spans(
 
     bodies = _bodies(docs, text, window)
 
-    packed = T.StructType.fromDDL("anchor long, d1 long, d2 long, starts binary, place int, windows binary")
+    packed = T.StructType.fromDDL("anchor long, d1 long, d2 long, starts binary, place int, words binary")
+    counted_ = T.StructType.fromDDL("k1 long, k2 long, d1 long, d2 long, starts binary, offset int, times long")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Batches of rows: anchor, digests, starts, place of the anchor in the first window, the words of all its windows and their hashes. A text's equal rows are one, with all starts."""
         unpack = zstandard.ZstdDecompressor().decompress
         last: set[tuple[int, int]] = set()
         for b in batches:
-            out: list[list] = [[] for _ in packed.names]
+            out = []
             for one, two, body, found in _once(b, ("body", "wanted"), last):
-                hashes = word_hashes(unpack(body).split())
+                words = unpack(body).split()
+                hashes = word_hashes(words)
                 grams, at = anchors(hashes, window, gram)
-                keys = window_keys(hashes, window)
                 want = np.sort(np.array(found, np.int64).view(np.uint64))
                 first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
                 ends = np.append(first[1:], len(at))
                 value = grams[at[first]]
                 pos = np.minimum(np.searchsorted(want, value), len(want) - 1)
-                rows: dict[tuple, list[int]] = {}  # a text's equal rows are one, with all their starts
+                rows: dict[tuple, list[int]] = {}
                 for i in np.flatnonzero(want[pos] == value).tolist():
                     s, e = int(first[i]), int(ends[i])
-                    rows.setdefault((int(value[i]), int(at[s]) - s, keys[s:e].tobytes()), []).append(s)
-                for (anchor, place, blob), starts in rows.items():
-                    row = (anchor - (anchor >> 63 << 64), one, two, np.array(starts, np.int32).tobytes(), place, blob)
-                    for column, x in zip(out, row, strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, _arrow(f)) for c, f in zip(out, packed.fields, strict=True)], names=packed.names)
-
-    def made(some: DataFrame) -> DataFrame:
+                    rows.setdefault((int(value[i].view(np.int64)), int(at[s]) - s, b" ".join(words[s : e + window - 1])), []).append(s)
+                out += [(anchor, one, two, np.array(starts, np.int32).tobytes(), place, line, hashes[starts[0] : starts[0] + line.count(b" ") + 1]) for (anchor, place, line), starts in rows.items()]
+            yield out
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in occurrences(batches):
+            columns = zip(*(r[:6] for r in rows), strict=True) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, _arrow(f)) for c, f in zip(columns, packed.fields, strict=True)], names=packed.names)
+
+    def made(some: DataFrame, run, schema: T.StructType) -> DataFrame:
         sets = some.groupBy("d1").agg(F.collect_set("anchor").alias("wanted"))
-        return bodies.join(sets, "d1").sortWithinPartitions("d1", "d2").mapInArrow(windows, packed)
+        return bodies.join(sets, "d1").sortWithinPartitions("d1", "d2").mapInArrow(run, schema)
 
     hits_type = "d1 long, d2 long, starts binary, flags binary"
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Nodes with two suffixes or more below them, in groups of one anchor: which windows of each row repeat."""
-        for t, offsets in sorted_groups(batches, ["anchor"], 20_000):
-            n = np.diff(offsets)
-            blobs = t.column("windows").to_pylist()
-            sizes = np.fromiter((len(x) // 8 for x in blobs), np.int64, len(blobs))
-            flat = np.frombuffer(b"".join(blobs), np.uint64)
-            row = np.repeat(np.arange(len(blobs)), sizes)
-            begin = np.cumsum(sizes) - sizes
-            group = np.repeat(np.arange(len(n)), n)[row]
-            place = t.column("place").to_numpy()[row] - (np.arange(len(flat)) - begin[row])
-            order = np.lexsort((flat, place, group))
-            same = (flat[order][1:] == flat[order][:-1]) & (place[order][1:] == place[order][:-1]) & (group[order][1:] == group[order][:-1])
-            again = np.zeros(len(flat), bool)
-            again[order[1:]] = same
-            again[order[:-1]] |= same
-            again |= (np.fromiter((len(x) > 4 for x in t.column("starts").to_pylist()), bool, len(blobs)))[row]
-            flags = again.astype(np.uint8).tobytes()
-            some = np.flatnonzero(np.add.reduceat(again, begin) > 0) if len(flat) else np.zeros(0, np.int64)
+        """The trees of groups of one anchor, several at a time: which windows of each row begin a path that another begins."""
+        for t, _ in sorted_groups(batches, ["anchor"], 10_000):
+            lines = t.column("words").to_pylist()
+            node, sizes = window_nodes(lines, window)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            again = np.bincount(node)[node] > 1 if len(node) else np.zeros(0, bool)
+            again |= (np.fromiter((len(x) > 4 for x in t.column("starts").to_pylist()), bool, len(lines)))[row]
+            flags, begin = again.astype(np.uint8).tobytes(), np.cumsum(sizes) - sizes
+            some = np.flatnonzero(np.add.reduceat(again, begin) > 0) if len(again) else np.zeros(0, np.int64)
             picked = t.select(["d1", "d2", "starts"]).take(pa.array(some)).combine_chunks()
             bits = pa.array([flags[begin[i] : begin[i] + sizes[i]] for i in some.tolist()], pa.binary())
             yield from pa.table([*picked.columns, bits], names=["d1", "d2", "starts", "flags"]).to_batches()
 
-    small = made(wanted.where("not large")).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(repeats, hits_type)
+    small = made(wanted.where("not large"), windows, packed).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(repeats, hits_type)
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of large groups, one per window."""
-        for b in batches:
-            sizes = np.array([len(x) // 8 for x in b.column("windows").to_pylist()], np.int64)
-            row = np.repeat(np.arange(b.num_rows), sizes)
-            offset = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keys = np.frombuffer(b"".join(b.column("windows").to_pylist()), np.int64)
-            take = lambda n: b.column(n).take(pa.array(row))  # noqa: E731,B023
-            times = np.array([len(x) // 4 for x in b.column("starts").to_pylist()], np.int64)[row]
-            columns = [take("anchor"), pa.array(keys), take("d1"), take("d2"), take("starts"), pa.array(offset.astype(np.int32)), pa.array(times)]
-            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "key", "d1", "d2", "starts", "offset", "times"])
-
-    long_ = made(wanted.where("large")).mapInArrow(single, "anchor long, key long, d1 long, d2 long, starts binary, offset int, times long")
-    deep = long_.groupBy("anchor", "key").agg(F.sum("times").alias("n")).where("n > 1").select("anchor", "key")
-    large = long_.join(deep, ["anchor", "key"]).select("d1", "d2", "starts", F.concat(F.repeat(F.lit("\0"), F.col("offset")), F.lit("\1")).cast("binary").alias("flags"))
+        for rows in occurrences(batches):
+            for i in range(0, len(rows), 2_000):
+                part = rows[i : i + 2_000]
+                keys = [(window_keys(r[6], window), window_keys(mix(r[6] ^ _SECOND), window)) for r in part]
+                at = np.repeat(np.arange(len(part)), [len(k) for k, _ in keys])
+                offset = np.concatenate([np.zeros(0, np.int32), *[np.arange(len(k), dtype=np.int32) for k, _ in keys]])
+                both = [np.concatenate([np.zeros(0, np.uint64), *x]).view(np.int64) for x in zip(*keys, strict=True)]
+                take = lambda n, kind: pa.array([r[n] for r in part], kind).take(pa.array(at))  # noqa: E731,B023
+                times = np.array([len(r[3]) // 4 for r in part], np.int64)[at]
+                columns = [*map(pa.array, both), take(1, pa.int64()), take(2, pa.int64()), take(3, pa.binary()), pa.array(offset), pa.array(times)]
+                yield pa.RecordBatch.from_arrays(columns, names=counted_.names)
+
+    long_ = made(wanted.where("large"), single, counted_)
+    deep = stored(long_.groupBy("k1", "k2").agg(F.sum("times").alias("n")).where("n > 1").select("k1", "k2"))
+    large = long_.join(few(deep), ["k1", "k2"]).select("d1", "d2", "starts", F.concat(F.repeat(F.lit("\0"), F.col("offset")), F.lit("\1")).cast("binary").alias("flags"))
 
     hits = small.union(large).groupBy("d1").agg(F.collect_list(F.struct("d2", "starts", "flags")).alias("hits"))
     again = copies.where("copies > 1").groupBy("d1").agg(F.collect_list("d2").alias("copied"))
