@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +42,40 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, **options: object) -> DataFrame:
     """Write a table into the shared folder and read it back: compact, and it outlives any executor."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/voltaic/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+def new_folder(spark: SparkSession, name: str = "table") -> str:
+    """A path of its own in the shared folder, deleted at the end of ``intermediates`` if one is open."""
+    path = f"{shared_folder(spark).rstrip('/')}/voltaic/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that operators store within, at the end. Results must be written elsewhere by then, as they are read from these."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for path in made:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 #: Bytes of rows that may be broadcast.
 BROADCAST_BYTES = 32 << 20
 

@@ -4,7 +4,7 @@
 Each text gets its perplexity, and is kept if that is at most its language's limit: the ``QUANTILE`` of the perplexities of trusted texts in that
 language, times ``MARGIN``. A model of words knows its own texts by heart, so the limits are those of one in ``HELD_OUT`` trusted texts under a model of the
 others. Languages without such text take the quantile of all. Quantiles are exact for perplexities rounded to a thousandth of their
-logarithm, and need no language in one task. ``train`` gives a small model over 64 characters, which ``classify`` doesn't use.
+logarithm, and need no language in one task.
 
 Null and empty texts have no perplexity (null) and aren't kept. With no trusted text the model is uniform and has no limit: all other texts are kept.
 A null language is a language of its own. Repeated rows count as often as they occur. The result has the key, ``lang``, ``n_scored`` (long),
@@ -13,166 +13,19 @@ A null language is a language of its own. Repeated rows count as often as they o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import word_model
-from .bpe import slices
-from .common import small_batches, stored
+from .common import few, stored
 
-ORDER = 4
-SYMBOLS = 64
-START, OTHER = 0, 1
 QUANTILE = 0.99
 MARGIN = 1.25
 #: One in so many trusted texts sets the limits, by a model of the others.
 HELD_OUT = 5
-#: Trusted keys up to which they may be broadcast.
-BROADCAST_KEYS = 5_000_000
 _BINS = 1_000.0
 
 
-def _points(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
-
-
-def alphabet(trusted: DataFrame, text: str = "text") -> np.ndarray:
-    """The symbol of each code point."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(0x110000, np.int64)
-        for whole in batches:
-            for b in slices(whole):
-                for t in b.column(text).to_pylist():
-                    points = _points(t)
-                    counts += np.bincount(points, minlength=0x110000) if len(points) > 200_000 else 0
-                    if len(points) <= 200_000:
-                        at, n = np.unique(points, return_counts=True)
-                        counts[at] += n
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["point", "n"])
-
-    rows = small_batches(trusted).select(text).mapInArrow(run, "point int, n long").groupBy("point").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point").limit(SYMBOLS - 2).collect()
-    table = np.full(0x110000, OTHER, np.uint8)
-    for i, r in enumerate(rows):
-        table[r.point] = i + 2
-    return table
-
-
-def _codes(text: str | None, table: np.ndarray) -> np.ndarray:
-    """The run of ``ORDER`` symbols that ends at each character, as a number."""
-    s = np.concatenate([np.full(ORDER - 1, START, np.int64), table[_points(text)].astype(np.int64)])
-    n = len(s) - ORDER + 1
-    out = np.zeros(n, np.int64)
-    for j in range(ORDER):
-        out = out << 6 | s[j : j + n]
-    return out
-
-
-def run_counts(trusted: DataFrame, table: np.ndarray, text: str = "text") -> DataFrame:
-    """``code``, ``c``: how often each run of symbols occurs."""
-    shared = trusted.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        held: list[np.ndarray] = []
-
-        def merge() -> None:
-            nonlocal at, counts
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            at, where = np.unique(np.concatenate([at, found]), return_inverse=True)
-            counts = np.bincount(where, np.concatenate([counts, n])).astype(np.int64)  # exact below 2**53
-
-        for whole in batches:
-            for b in slices(whole, 64):
-                held += [_codes(t, shared.value) for t in b.column(text).to_pylist()]
-                if sum(map(len, held)) > 500_000:
-                    merge()
-        if held:
-            merge()
-        for i in range(0, len(at), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 10_000]), pa.array(counts[i : i + 10_000])], names=["code", "c"])
-
-    return small_batches(trusted).select(text).mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
-
-
-def probabilities(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """For orders 1 to ``ORDER``: discounted probabilities (``code``, ``p``) and the weights left for the next lower order (``ctx``, ``g``)."""
-    levels = [counts]
-    for order in range(ORDER - 1, 0, -1):  # continuation counts: distinct symbols that come before
-        levels.append(levels[-1].groupBy((F.col("code") % (SYMBOLS**order)).alias("code")).agg(F.count("*").alias("c")))
-    found, left = [], []
-    for table in reversed(levels):
-        n = table.agg(*[F.count_if(F.col("c") == i) for i in (1, 2, 3, 4)]).first()
-        y = n[0] / (n[0] + 2 * n[1]) if n[0] + 2 * n[1] else 0.0
-        # Where the counts of counts can't give a discount, the usual absolute one stands in.
-        d = [min(float(i), max(0.0, i - (i + 1) * y * n[i] / n[i - 1])) if n[i - 1] else 0.5 for i in (1, 2, 3)]
-        discount = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        ctx = F.shiftright("code", 6)
-        total = table.groupBy(ctx.alias("ctx")).agg(F.sum("c").alias("total"), F.sum(discount).alias("taken"))
-        joined = table.withColumn("ctx", ctx).join(total, "ctx")
-        found.append(joined.select("code", ((F.col("c") - discount) / F.col("total")).alias("p")))
-        left.append(total.select("ctx", (F.col("taken") / F.col("total")).alias("g")))
-    return found, left
-
-
-class Model:
-    """The interpolated probabilities of the highest order in two arrays of bounded size."""
-
-    def __init__(self, table: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], left: list[tuple[np.ndarray, np.ndarray]]):
-        self.table = table
-        lower = np.full(1, 1.0 / SYMBOLS)
-        for order, ((code, p), (ctx, g)) in enumerate(zip(found, left, strict=True), 1):
-            if order == ORDER:
-                break
-            lower = self._spread(order, code, p, ctx, g, lower)
-        self.lower = lower.astype(np.float32)
-        code, p = found[-1] if found else (np.zeros(0, np.int64), np.zeros(0))
-        ctx, g = left[-1] if left else (np.zeros(0, np.int64), np.zeros(0))
-        self.code, self.p, self.ctx, self.g = code, p.astype(np.float32), ctx, g.astype(np.float32)
-        self._dense = None
-
-    @staticmethod
-    def _spread(order: int, code: np.ndarray, p: np.ndarray, ctx: np.ndarray, g: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        out, rest = np.zeros(SYMBOLS**order), np.ones(SYMBOLS ** (order - 1))
-        out[code], rest[ctx] = p, g
-        every = np.arange(SYMBOLS**order)
-        return out + rest[every >> 6] * lower[every % len(lower)]
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_dense": None}
-
-    def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
-        if self._dense is None:
-            # A row for each context that was met; the last one, of zeros, stands for all others.
-            row, rest = np.full(SYMBOLS ** (ORDER - 1), len(self.ctx), np.int32), np.ones(SYMBOLS ** (ORDER - 1), np.float32)
-            row[self.ctx], rest[self.ctx] = np.arange(len(self.ctx)), self.g
-            top = np.zeros((len(self.ctx) + 1, SYMBOLS), np.float32)
-            top[row[self.code >> 6], self.code & 63] = self.p
-            self._dense = row, top, rest
-        row, top, rest = self._dense
-        ctx = codes >> 6
-        return np.log((top[row[ctx], codes & 63] + rest[ctx] * self.lower[codes % len(self.lower)]).astype(np.float64))
-
-    def perplexity(self, text: str | None) -> tuple[int, float | None]:
-        codes = _codes(text, self.table)
-        return (len(codes), float(np.exp(-self.log_probabilities(codes).mean()))) if len(codes) else (0, None)
-
-
-def train(trusted: DataFrame, text: str = "text") -> Model:
-    """The model of all trusted texts. What comes to the driver is bounded by the number of symbols."""
-    table = alphabet(trusted, text)
-    counts = stored(run_counts(trusted, table, text))
-    pull = lambda df: (lambda t: (t.column(0).to_numpy(), t.column(1).to_numpy()))(df.toArrow())
-    found, left = probabilities(counts)
-    return Model(table, [pull(x) for x in found], [pull(x) for x in left])
-
-
 def limits(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> tuple[DataFrame, float | None]:
     """``lang``, ``threshold`` by language, however many; and the one of all languages together, None without any text."""
     bins = stored(scored.where("perplexity is not null").select("lang", F.round(F.ln("perplexity") * _BINS).cast("long").alias("bin")).groupBy("lang", "bin").agg(F.count("*").alias("n")))
@@ -189,9 +42,9 @@ def limits(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN
 
 def classify(df: DataFrame, trusted_keys: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """Perplexity, threshold and verdict of each document; ``trusted_keys`` has the keys of those to learn from."""
-    keys = trusted_keys.select(F.col(key).alias("_trusted")).where("_trusted is not null").distinct()
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    of_trusted = lambda t: t.join(F.broadcast(keys) if few else keys, t[key] == F.col("_trusted"), "left_semi")
+    df = df.select(key, text, lang)  # so that no other column's name can clash
+    keys = few(stored(trusted_keys.select(F.col(key).alias("_trusted")).where("_trusted is not null").distinct()))
+    of_trusted = lambda t: t.join(keys, t[key] == F.col("_trusted"), "left_semi")
     trusted = of_trusted(df).select(F.col(key), text, F.col(lang).alias("lang"), (F.crc32(F.col(key).cast("string")) % HELD_OUT == 0).alias("_held"))
     counts = stored(word_model.trigram_counts(trusted.select(text, "_held"), text, "_held"))
     model = word_model.weights(counts.drop("rest"))

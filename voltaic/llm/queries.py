@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, kneser_ney, language_id, quality_rules, simhash_dedup, substring_dedup, token_counts, token_output, toxicity
-from .common import shared_folder
+from .common import new_folder
 
 END_ID = 2
 
@@ -22,8 +20,13 @@ def _bucket(modulus: int, column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string")) % modulus
 
 
+def _held_out(modulus: int, remainder: int) -> Column:
+    """False for a null key, which has no remainder; nothing is learned from it either."""
+    return F.coalesce(_bucket(modulus) == remainder, F.lit(False))
+
+
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark).rstrip('/')}/voltaic/tokens-{uuid.uuid4().hex}"
+    path = new_folder(spark, "tokens")
     token_output.write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
     return token_output.token_digest(spark, path)
 
@@ -54,13 +57,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, _table(spark, sf_dir, "labels"), _bucket(4) != 2)
     found = toxicity.toxicity(docs, model)
-    return found.select("doc_id", (_bucket(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
+    return found.select("doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     prototypes = language_id.learn(docs.where(_bucket(3) != 1))
-    return language_id.predict(docs, prototypes).select("doc_id", (_bucket(3) == 1).alias("held_out"), "lang_pred", "score")
+    return language_id.predict(docs, prototypes).select("doc_id", _held_out(3, 1).alias("held_out"), "lang_pred", "score")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
