@@ -1,19 +1,21 @@
 """A training-data pipeline: quality rules, near-duplicates, repeated passages, benchmark passages, and byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and reread as the next one's docs. All but the last
-return the columns of ``documents``.
+return the columns of ``documents``, whatever further ones there are and whatever their names.
+
+Null, empty and blank texts have no words and are rejected by the first stage; given to a later one, they stay as they are. Null keys are carried along; in the
+near-duplicate stage they count as larger than all others. Of rows repeated with key and text that stage keeps one; the other stages treat each row alike. Very long texts
+are worked on whole. Ties (of least keys, of equal texts) don't depend on partitions. An empty table passes all stages and gives an empty result with the columns of the last.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltaic.llm import bpe, decontaminate, near_dedup, quality_rules, substring_dedup
-from voltaic.llm.common import shared_folder
+from voltaic.llm.common import delete, intermediates, new_folder
 
 
 def _resized(docs: DataFrame) -> DataFrame:
@@ -59,10 +61,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; what a stage stores on its way, and its predecessor's output, are deleted when its own output is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        path = f"{shared_folder(spark).rstrip('/')}/voltaic/{name}-{uuid.uuid4().hex}"
-        out.write.parquet(path)
+        path = new_folder(spark, name)
+        with intermediates(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
