@@ -195,7 +195,7 @@ def repeated_spans(
     )
     wanted = pairs.join(counted, "anchor")
 
-    bodies = _bodies(docs, text, window)
+    bodies = stored(_bodies(docs, text, window), compression="none")  # read several times
 
     packed = T.StructType.fromDDL("anchor long, d1 long, d2 long, starts binary, place int, words binary")
     counted_ = T.StructType.fromDDL("k1 long, k2 long, d1 long, d2 long, starts binary, offset int, times long")
