@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import small_batches, texts
+from .common import small_batches, texts, tidied
 
 
 def byte_characters() -> list[str]:
@@ -272,7 +272,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", spans
     names = [ids, *(["char_starts", "char_ends"] if spans else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in gathered(batches):
+        for b in gathered(batches, 4 << 20):
             parts = encode_bytes(b.column(text), path)
             new = {ids: ids_array(parts)}
             if spans:
@@ -285,7 +285,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", spans
             yield with_columns(b, new)
 
     fields = [T.StructField(n, ints) for n in names] + ([T.StructField(checked, T.BooleanType())] if checked else [])
-    return small_batches(df).mapInArrow(run, _extended(df, fields))
+    return small_batches(df).mapInArrow(tidied(run), _extended(df, fields))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -298,7 +298,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
             raw = [decode_ids(flat[i:j], path) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
             yield with_columns(b, {out: pa.array(raw, pa.binary())})
 
-    return df.mapInArrow(run, _extended(df, [T.StructField(out, T.BinaryType())]))
+    return df.mapInArrow(tidied(run), _extended(df, [T.StructField(out, T.BinaryType())]))
 
 
 def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -318,4 +318,4 @@ def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text"
             ]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return small_batches(df).select(key, text).mapInArrow(run, schema)
+    return small_batches(df).select(key, text).mapInArrow(tidied(run), schema)

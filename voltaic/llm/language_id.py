@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import small_batches
+from .common import small_batches, tidied
 
 DIMENSIONS = 1_024
 #: Runs of letters remembered by each Python worker; vectors of later new ones are made again each time.
@@ -119,7 +119,7 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np
         for name, s in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(s)], names=["lang", "place", "total"])
 
-    part = small_batches(df).where(F.col(lang).isNotNull()).select(F.col(text), F.col(lang)).mapInArrow(run, "lang string, place int, total long")
+    part = small_batches(df).where(F.col(lang).isNotNull()).select(F.col(text), F.col(lang)).mapInArrow(tidied(run), "lang string, place int, total long")
     whole = part.groupBy("lang", "place").agg(F.sum("total").alias("total")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "total"))).alias("v"))
     rows = whole.limit(MOST_LANGUAGES + 1).collect()
     if len(rows) > MOST_LANGUAGES:
@@ -154,4 +154,4 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], key: str = "doc_id
                     scores.append(float(min(1.0, max(0.0, cosine[best]))))
                 yield pa.RecordBatch.from_arrays([b.column(key), pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return small_batches(df).select(key, text).mapInArrow(run, schema)
+    return small_batches(df).select(key, text).mapInArrow(tidied(run), schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import bloom_filter, bloom_test, few, mix, small_batches, sorted_groups, stored, texts
+from .common import bloom_filter, bloom_test, few, mix, small_batches, sorted_groups, stored, texts, tidied
 from .components import connected_components
 from .simhash_dedup import _LOWER, keyed_links, shingle_hashes
 
@@ -90,7 +90,7 @@ def _scan(docs: DataFrame) -> DataFrame:
                 columns = [b.column("key"), b.column("h1"), b.column("h2"), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return small_batches(docs).mapInArrow(run, f"key {kind}, h1 long, h2 long, d1 long, d2 long, prints array<long>")
+    return small_batches(docs).mapInArrow(tidied(run), f"key {kind}, h1 long, h2 long, d1 long, d2 long, prints array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -124,8 +124,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 blobs = [np.unique(shingle_hashes(unpack(x), SHINGLE)).tobytes() for x in kept.column("body").to_pylist()]
                 yield pa.RecordBatch.from_arrays([kept.column("node"), pa.array(blobs, pa.binary())], names=["node", "shingles"])
 
-    sent = small_batches(docs).select("text").mapInArrow(bodies, "d1 long, d2 long, body binary")
-    return sent.join(wanted, ["d1", "d2"]).select("node", "body").repartition("node").sortWithinPartitions("node").mapInArrow(sets, "node long, shingles binary")
+    sent = small_batches(docs).select("text").mapInArrow(tidied(bodies), "d1 long, d2 long, body binary")
+    return sent.join(wanted, ["d1", "d2"]).select("node", "body").repartition("node").sortWithinPartitions("node").mapInArrow(tidied(sets), "node long, shingles binary")
 
 
 def _similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -146,7 +146,7 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     one = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
     two = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    return small_batches(pairs.join(one, "u").join(two, "v")).mapInArrow(run, "u long, v long, similar boolean")
+    return small_batches(pairs.join(one, "u").join(two, "v")).mapInArrow(tidied(run), "u long, v long, similar boolean")
 
 
 def _across(sets: list[np.ndarray], part: np.ndarray, probe: np.ndarray) -> list[tuple[int, int]]:
@@ -195,7 +195,7 @@ def _second(failed: DataFrame, parts: DataFrame, nodes: DataFrame, sets: DataFra
                     v.append(int(part[a + j]))
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return small_batches(whole).repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(run, "u long, v long")
+    return small_batches(whole).repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(tidied(run), "u long, v long")
 
 
 def _groups(docs: DataFrame) -> DataFrame:

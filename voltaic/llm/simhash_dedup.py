@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import checkpoint, small_batches, sorted_groups, texts
+from .common import checkpoint, small_batches, sorted_groups, texts, tidied
 from .components import connected_components
 
 #: Fingerprints of a partition that one task searches at once.
@@ -76,7 +76,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
                 values = np.array([simhash(shingle_hashes(t, k)) for t in texts(b.column(text))], np.uint64)
                 yield pa.RecordBatch.from_arrays([b.column(key), pa.array(values.view(np.int64))], names=schema.names)
 
-    return small_batches(df).select(key, text).mapInArrow(run, schema)
+    return small_batches(df).select(key, text).mapInArrow(tidied(run), schema)
 
 
 def gray_rank(values: np.ndarray) -> np.ndarray:
@@ -212,7 +212,7 @@ def keyed_links(rows: DataFrame, radius: int, check_radius: int | None = None) -
                     u, v = np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(run, "u long, v long")
+    return dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(tidied(run), "u long, v long")
 
 
 def hamming_links(nodes: DataFrame, radius: int, bits: int = 64) -> DataFrame:

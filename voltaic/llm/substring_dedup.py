@@ -29,13 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pandas import factorize
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices, with_columns
-from .common import few, gram_hashes, mix, small_batches, sorted_groups, stored, texts, word_hashes
+from .common import few, gram_hashes, mix, small_batches, sorted_groups, stored, texts, tidied, word_hashes
 
 #: Words of an anchor.
 GRAM = 8
@@ -99,7 +98,7 @@ def _paired(first: np.ndarray, second: np.ndarray, apart: int) -> np.ndarray:
     """Numbers of the pairs of a node and the one so many words on."""
     if len(first) <= apart:
         return first[:0]
-    return factorize(first[:-apart] * (int(second.max()) + 1) + second[apart:])[0]
+    return pa.array(first[:-apart] * (int(second.max()) + 1) + second[apart:]).dictionary_encode().indices.to_numpy().astype(np.int64)
 
 
 def _digest(line: bytes) -> tuple[int, int]:
@@ -133,7 +132,7 @@ def _scan(docs: DataFrame, text: str, window: int, gram: int) -> DataFrame:
                 cols = [pa.array(c, _arrow(f)) for c, f in zip(zip(*rows, strict=True), new, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), *cols], names=schema.names)
 
-    return small_batches(docs).mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(tidied(run), schema)
 
 
 def _arrow(field: T.StructField) -> pa.DataType:
@@ -158,7 +157,7 @@ def _bodies(docs: DataFrame, text: str, window: int) -> DataFrame:
                 one, two, body = zip(*rows, strict=True) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(body, pa.binary())], names=["d1", "d2", "body"])
 
-    return small_batches(docs).select(text).mapInArrow(run, "d1 long, d2 long, body binary")
+    return small_batches(docs).select(text).mapInArrow(tidied(run), "d1 long, d2 long, body binary")
 
 
 def _once(batch: pa.RecordBatch, names: tuple[str, ...], last: set[tuple[int, int]]) -> Iterator[tuple]:
@@ -229,13 +228,13 @@ def repeated_spans(
 
     def made(some: DataFrame, run, schema: T.StructType) -> DataFrame:
         sets = some.groupBy("d1").agg(F.collect_set("anchor").alias("wanted"))
-        return bodies.join(sets, "d1").sortWithinPartitions("d1", "d2").mapInArrow(run, schema)
+        return bodies.join(sets, "d1").sortWithinPartitions("d1", "d2").mapInArrow(tidied(run), schema)
 
     hits_type = "d1 long, d2 long, starts binary, flags binary"
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The trees of groups of one anchor, several at a time: which windows of each row begin a path that another begins."""
-        for t, _ in sorted_groups(batches, ["anchor"], 10_000):
+        for t, _ in sorted_groups(batches, ["anchor"], 5_000):
             lines = t.column("words").to_pylist()
             node, sizes = window_nodes(lines, window)
             row = np.repeat(np.arange(len(sizes)), sizes)
@@ -247,7 +246,7 @@ def repeated_spans(
             bits = pa.array([flags[begin[i] : begin[i] + sizes[i]] for i in some.tolist()], pa.binary())
             yield from pa.table([*picked.columns, bits], names=["d1", "d2", "starts", "flags"]).to_batches()
 
-    small = made(wanted.where("not large"), windows, packed).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(repeats, hits_type)
+    small = made(wanted.where("not large"), windows, packed).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidied(repeats), hits_type)
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of large groups, one per window."""
@@ -299,7 +298,7 @@ def repeated_spans(
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, _arrow(f)) for c, f in zip(out, result.fields, strict=True)], names=result.names)
 
-    removed = bodies.join(found, "d1", "left" if texts_too else "inner").sortWithinPartitions("d1", "d2").mapInArrow(cut, result)
+    removed = bodies.join(found, "d1", "left" if texts_too else "inner").sortWithinPartitions("d1", "d2").mapInArrow(tidied(cut), result)
     joined = scan.join(removed, ["d1", "d2"], "left").select(
         "others",
         "n_words",
@@ -320,7 +319,7 @@ def repeated_spans(
 
     text_type = T.StructField("kept", T.StringType())
     full = T.StructType([f for f in joined.schema.fields if f.name not in ("short", "kept")] + [text_type])
-    out = joined.mapInArrow(unpacked, full)
+    out = joined.mapInArrow(tidied(unpacked), full)
     return out.select("others.*", *(c for c in out.columns if c != "others"))
 
 

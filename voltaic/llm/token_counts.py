@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import read_ranks, slices, with_columns
-from .common import small_batches, texts
+from .common import small_batches, texts, tidied
 
 
 class Automaton:
@@ -207,4 +207,4 @@ def token_counts(df: DataFrame, ranks: str, text: str = "text", prefix: bytes =
                 words, tokens = own.count(texts(b.column(text)))
                 yield with_columns(b, {"n_words": pa.array(words, pa.int64()), "n_tokens": pa.array(tokens, pa.int64())})
 
-    return small_batches(df).mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(tidied(run), schema)

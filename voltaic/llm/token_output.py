@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import encode_bytes, gathered, ids_array, with_columns
-from .common import small_batches
+from .common import small_batches, tidied
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
@@ -47,7 +47,7 @@ def write_tokens(
     ordered = (
         df.select(key, *meta, text).repartitionByRange(F.col(key)).sortWithinPartitions(F.col(key), F.xxhash64(text), F.xxhash64(*meta, F.lit(0)))
     )
-    small_batches(ordered).mapInArrow(run, schema).write.options(
+    small_batches(ordered).mapInArrow(tidied(run), schema).write.options(
         **{
             "compression": "zstd",
             "parquet.block.size": ROW_GROUP_BYTES,
@@ -102,5 +102,5 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
                 [b.column(key), b.column("file"), b.column("row"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=schema.names
             )
 
-    rows = df.select(key, "ids", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).mapInArrow(run, schema)
+    rows = df.select(key, "ids", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).mapInArrow(tidied(run), schema)
     return rows.join(token_starts(spark, path), ["file", "row"]).select(key, "start", "n_tokens", "ids_crc32")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import small_batches
+from .common import small_batches, tidied
 from .word_model import UNSPACED
 
 LEARN_ROWS = 3_000
@@ -232,4 +232,4 @@ def toxicity(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
                     shown.append([{"example": str(own.keys[p]), "cosine": min(1.0, c), "label": int(own.labels[p])} for p, c in zip(place[:3].tolist(), cosine[:3].tolist(), strict=True)])
                 yield pa.RecordBatch.from_arrays([b.column(key), pa.array(scores, pa.float64()), pa.array(shown, kind)], names=schema.names)
 
-    return small_batches(df).select(key, text).mapInArrow(run, schema)
+    return small_batches(df).select(key, text).mapInArrow(tidied(run), schema)

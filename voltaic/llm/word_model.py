@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import gram_hashes, mix, small_batches, stored, word_hashes
+from .common import gram_hashes, mix, small_batches, stored, tidied, word_hashes
 
 HOT = 100_000
 #: Positions counted together in a task.
@@ -74,7 +74,7 @@ def trigram_counts(trusted: DataFrame, text: str, held_out: str) -> DataFrame:
         if held:
             yield from flush()
 
-    rows = small_batches(trusted).select(text, held_out).mapInArrow(run, "h long, ctx long, low long, u2 long, u3 long, c long, rest long")
+    rows = small_batches(trusted).select(text, held_out).mapInArrow(tidied(run), "h long, ctx long, low long, u2 long, u3 long, c long, rest long")
     return rows.groupBy("h").agg(*[F.first(x).alias(x) for x in ("ctx", "low", "u2", "u3")], F.sum("c").alias("c"), F.sum("rest").alias("rest"))
 
 
@@ -151,7 +151,7 @@ def perplexities(df: DataFrame, model: tuple[DataFrame, float, int], key: str =
                     yield pa.RecordBatch.from_arrays([pa.array(at[i : i + k]), pa.array(h[i : i + k]), pa.array(n[i : i + k]), pa.nulls(k, pa.float64()), pa.nulls(k, b.column(key).type), pa.nulls(k, b.column(lang).type), pa.array(np.zeros(k, bool))], names=names)
 
     names = ["_row", "h", "n", "own", key, lang, "_text"]
-    rows = small_batches(df).select(key, text, F.col(lang).cast("string").alias(lang)).mapInArrow(run, f"_row long, h long, n long, own double, `{key}` {kind}, `{lang}` string, _text boolean")
+    rows = small_batches(df).select(key, text, F.col(lang).cast("string").alias(lang)).mapInArrow(tidied(run), f"_row long, h long, n long, own double, `{key}` {kind}, `{lang}` string, _text boolean")
     cold = table.where(~hot).select("h", "w")
     part = F.when(F.col("_text"), F.col("own")).otherwise(F.col("n") * F.coalesce("w", F.lit(0.0)))
     of = lambda c: F.max_by(c, "_text")
