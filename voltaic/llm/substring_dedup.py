@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices, with_columns
-from .common import few, gram_hashes, mix, small_batches, sorted_groups, stored, texts, tidied, word_hashes
+from .common import bloom_filter, bloom_has, few, gram_hashes, mix, small_batches, sorted_groups, stored, texts, tidied, word_hashes
 
 #: Words of an anchor.
 GRAM = 8
@@ -192,7 +192,7 @@ def repeated_spans(
         .where("lo <> hi or most > 1")
         .select("anchor", (F.col("n") > group).alias("large"))
     )
-    wanted = pairs.join(counted, "anchor")
+    wanted = stored(pairs.join(counted, "anchor").select("d1", "anchor", "large"))
 
     bodies = stored(_bodies(docs, text, window), compression="none")  # read several times
 
@@ -227,8 +227,10 @@ def repeated_spans(
             yield pa.RecordBatch.from_arrays([pa.array(c, _arrow(f)) for c, f in zip(columns, packed.fields, strict=True)], names=packed.names)
 
     def made(some: DataFrame, run, schema: T.StructType) -> DataFrame:
+        """Rows of the texts with some of the wanted anchors; a filter of their digests keeps most others out of the shuffle."""
         sets = some.groupBy("d1").agg(F.collect_set("anchor").alias("wanted"))
-        return bodies.join(sets, "d1").sortWithinPartitions("d1", "d2").mapInArrow(tidied(run), schema)
+        may = bloom_has(bloom_filter(some.select("d1").distinct()))
+        return bodies.where(may(F.col("d1"))).join(sets, "d1").sortWithinPartitions("d1", "d2").mapInArrow(tidied(run), schema)
 
     hits_type = "d1 long, d2 long, starts binary, flags binary"
 
