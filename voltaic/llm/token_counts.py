@@ -184,9 +184,9 @@ class Counter:
         known = self.known
         new = list({w for ws in split for w in ws if w not in known})
         extra = dict(zip(new, self.automaton.count([self.prefix + w for w in new]).tolist(), strict=True))
-        get = lambda w: known[w] if w in known else extra[w]
-        if len(known) < self.REMEMBERED:
-            known.update((w, n) for w, n in extra.items() if len(w) <= self.LONGEST)
+        short = {w: n for w, n in extra.items() if len(w) <= self.LONGEST} if len(known) < self.REMEMBERED else {}
+        known.update(short)
+        get = known.__getitem__ if len(short) == len(extra) else lambda w: known[w] if w in known else extra[w]
         return [len(ws) for ws in split], [sum(map(get, ws)) for ws in split]
 
 
