@@ -73,7 +73,7 @@ def load(path: str, literal: bool = False):
 @lru_cache(maxsize=4)
 def token_bytes(path: str) -> list[bytes]:
     """The bytes of each id; ids that no token has give no bytes."""
-    t = load(path)
+    t = load(path, False)  # as an encoder asks for it, so that both share one
     byte_of = {c: i for i, c in enumerate(byte_characters())}
     out = [b""] * t.get_vocab_size(with_added_tokens=True)
     vocab = t.get_vocab(with_added_tokens=True)
@@ -123,17 +123,18 @@ class Encoder:
 
     def _pieces(self, words: list[str]) -> list[bytes]:
         """The ids of words that are one piece of the pattern each."""
-        if not words:
-            return []
-        spelt = "\n".join(words).encode().decode("latin-1").translate(self.spelling).split("\n")
-        ids: list[int] = []
-        ends = [0]
+        out: list[bytes] = []
         tokenize = self.model.tokenize
-        for w in spelt:
-            ids += [t.id for t in tokenize(w)]
-            ends.append(4 * len(ids))
-        raw = np.array(ids, "<u4").tobytes()
-        return [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+        for k in range(0, len(words), 10_000):  # so that few numbers are Python objects at a time
+            spelt = "\n".join(words[k : k + 10_000]).encode().decode("latin-1").translate(self.spelling).split("\n")
+            ids: list[int] = []
+            ends = [0]
+            for w in spelt:
+                ids += [t.id for t in tokenize(w)]
+                ends.append(4 * len(ids))
+            raw = np.array(ids, "<u4").tobytes()
+            out += [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+        return out
 
     def _others(self, units: list[str]) -> list[bytes]:
         """The ids of units without line breaks, through the whole encoder."""
@@ -198,7 +199,7 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, literal: bool = False) -> Encoder:
+def encoder(path: str, literal: bool) -> Encoder:
     return Encoder(path, literal)
 
 
@@ -272,7 +273,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", spans
     names = [ids, *(["char_starts", "char_ends"] if spans else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in gathered(batches, 4 << 20):
+        for b in gathered(batches, 1 << 20):  # with all columns held, memory matters more than common words
             parts = encode_bytes(b.column(text), path)
             new = {ids: ids_array(parts)}
             if spans:
