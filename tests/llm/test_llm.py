@@ -492,6 +492,17 @@ def test_curve_is_the_best_monotone_fit():
     mean = lambda a, b: (y[a : b + 1] @ w[a : b + 1]) / w[a : b + 1].sum()
     best = [max(min(mean(a, b) for b in range(i, 60)) for a in range(i + 1)) for i in range(60)]
     assert np.interp(x, at, value) == pytest.approx(best)
+    at, value = toxicity._monotone(np.array([0.5, 0.2, 0.5, 0.2]), np.array([0.0, 0.0, 1.0, 0.0]), np.array([1.0, 1.0, 3.0, 1.0]))
+    assert at.tolist() == [0.2, 0.5] and value.tolist() == [0.0, 0.75]  # ties get one score
+
+
+def test_toxicity_learns_from_one_text_of_a_key(spark):
+    rows = [(i, " ".join(["plain words here", "vile"][: 1 + i % 2])) for i in range(60)]
+    d = spark.createDataFrame([*rows, *rows, (1, "zzz later text")], "doc_id long, text string")
+    m = toxicity.learn(d, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"), F.lit(True))
+    assert len(m.keys) == len(set(m.keys)) == 30 and set(m.labels) == {1.0}
+    got = {r.doc_id: r.score for r in toxicity.toxicity(spark.createDataFrame(rows, d.schema), m).collect()}
+    assert all((got[i] >= 0.3) == bool(i % 2) for i in range(60))
 
 
 def test_votes_and_scores_in_plain_loops():

@@ -4,10 +4,11 @@ Terms are whole lower-cased words of any length, digits included, the runs of fo
 scripts without spaces: all whose presence depends on the label by a chi-square test on the learning sample. A text's vector has (1 + ln tf) * idf for each, with unit norm. The
 index keeps the examples in blocks; a block's greatest weight of each term bounds the cosine of all its examples, so blocks are scored
 from the highest bound down until none can reach the ``NEIGHBOURS`` best: the result is that of a full scan. Votes are weighted by
-the square of the cosine, with a prior for texts without terms; a monotone fit on leave-one-out votes of the sample makes scores of votes.
+the square of the cosine, with a prior for texts without terms. A monotone fit makes scores of votes. As terms know the rows they were chosen on, it is fitted
+on the votes that each of ``FOLDS`` parts of the sample (by a hash of the text, so that equal texts stay together) gets from terms and examples of the others.
 
 The sample is bounded by ``LEARN_ROWS`` for each label, evenly drawn by a hash of the key; all else covers whole texts. Labels and keys
-of documents that are scored are no part of a score. Null, empty and blank texts have no terms and get the score of such texts.
+of documents that are scored are no part of a score. Of several texts of one labelled key the least is learned from. Null, empty and blank texts have no terms and get the score of such texts.
 Rows without a label are not learned from; with no label of one kind, the score is the share of the other. Repeated rows get equal rows.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,6 +39,7 @@ BLOCK = 64
 GRAMS = (4, 5)
 SHORT = (1, 2, 3)
 PRIOR_WEIGHT = 0.05
+FOLDS = 5
 
 #: Bytes of blocks that a worker keeps spread out.
 _DENSE = 128 << 20
@@ -91,8 +94,8 @@ class Model:
             self._blocks[b] = w
         return w
 
-    def vector(self, text: str) -> dict[int, float]:
-        """Weights of the terms of a text, with unit norm."""
+    def counts(self, text: str) -> Counter:
+        """How often each term occurs in a text."""
         if self._automaton is None:
             import ahocorasick
 
@@ -101,13 +104,17 @@ class Model:
                 self._automaton.add_word(term, i)
             if self.terms:
                 self._automaton.make_automaton()
-        if not self.terms or not text:
-            return {}
-        counts = Counter(i for _, i in self._automaton.iter(_plain(text)))
+        return Counter(i for _, i in self._automaton.iter(_plain(text))) if self.terms and text else Counter()
+
+    def weighted(self, counts: dict[int, int]) -> dict[int, float]:
+        """Weights of counted terms, with unit norm."""
         raw = {i: (1 + math.log(c)) * self.idf[i] for i, c in counts.items()}
         norm = math.sqrt(sum(x * x for x in raw.values()))
         return {i: x / norm for i, x in raw.items()}
 
+    def vector(self, text: str) -> dict[int, float]:
+        return self.weighted(self.counts(text))
+
     def index(self, vectors: list[dict[int, float]]) -> None:
         blocks = -(-len(vectors) // BLOCK)
         self.postings, self.block_max = [], np.zeros((len(self.terms), blocks))
@@ -117,7 +124,7 @@ class Model:
             self.postings.append((term, place, weight))
             np.maximum.at(self.block_max[:, b], term, weight)
 
-    def nearest(self, v: dict[int, float], skip: int = -1, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, v: dict[int, float], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k best examples with a term in common, best first, ties by place."""
         if not v or not len(self.labels):
             return np.zeros(0, np.int64), np.zeros(0)
@@ -128,8 +135,6 @@ class Model:
             if bound[b] <= 0 or (len(score) == k and bound[b] < score[-1] - 1e-12):
                 break
             part = q @ self._block(int(b))[ids]
-            if skip // BLOCK == b and skip >= 0:
-                part[skip % BLOCK] = 0
             some = np.flatnonzero(part > 0)
             place, score = np.append(place, some + b * BLOCK), np.append(score, part[some])
             order = np.lexsort((place, -score))[:k]
@@ -146,9 +151,10 @@ class Model:
 
 def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The non-decreasing step function of x nearest to y by weighted squares, as points to interpolate between."""
-    order = np.argsort(x, kind="stable")
+    at, same = np.unique(x, return_inverse=True)  # equal votes get one score
+    weight = np.bincount(same, w)
     pools: list[list[float]] = []  # mean, weight, first x, last x
-    for a, b, c in zip(x[order].tolist(), y[order].tolist(), w[order].tolist(), strict=True):
+    for a, b, c in zip(at.tolist(), (np.bincount(same, w * y) / weight).tolist(), weight.tolist(), strict=True):
         pools.append([b, c, a, a])
         while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
             q = pools.pop()
@@ -158,31 +164,21 @@ def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return np.array([a for a, _ in points]), np.array([b for _, b in points])
 
 
-def fit(rows: list[tuple], totals: dict[int, int]) -> Model:
-    """A model from (key, text, label) rows and the number of rows of each label that they were drawn from."""
-    rows = sorted(rows, key=lambda r: (str(r[1]), str(r[0])))
-    n = Counter(r[2] for r in rows)
-    weight = {c: totals[c] / n[c] for c in n}
-    all_rows = sum(totals.values())
-    rate = totals.get(1, 0) / all_rows if all_rows else 0.0
-    if len(n) < 2:
-        return Model([], np.zeros(0), [], np.zeros(0), np.zeros(0), rate, curve=(np.array([0.0, 1.0]), np.array([rate, rate])))
-    df: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for _, text, label in rows:
-        df[label].update(_grams(text or ""))
-    chosen = []
-    for g in set(df[0]) | set(df[1]):
-        a, b = df[1][g], df[0][g]
-        c, d = n[1] - a, n[0] - b
-        spread = float((a + b) * (c + d) * (a + c) * (b + d))
-        chi2 = (a + b + c + d) * (a * d - b * c) ** 2 / spread if spread else 0.0
-        if chi2 >= LEAST_CHI2:
-            chosen.append((-chi2, g))
-    terms = [g for _, g in sorted(chosen)]
-    total = len(rows)
-    idf = np.array([math.log((1 + total) / (1 + df[0][g] + df[1][g])) + 1 for g in terms])
+def _terms(names: list[str], a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> tuple[list[str], np.ndarray]:
+    """The terms that depend on the label, most dependent first, and their weights, from the rows of each label with the term (``a``, ``b``) and in all."""
+    a, b = a.astype(float), b.astype(float)
+    c, d = n1 - a, n0 - b
+    spread = (a + b) * (c + d) * n1 * n0
+    chi2 = np.divide((n1 + n0) * (a * d - b * c) ** 2, spread, out=np.zeros(len(a)), where=spread > 0)
+    order = sorted(np.flatnonzero(chi2 >= LEAST_CHI2).tolist(), key=lambda i: (-chi2[i], names[i]))
+    return [names[i] for i in order], np.log((1 + n1 + n0) / (1 + a[order] + b[order])) + 1
+
+
+def _indexed(rows: list[tuple], terms: list[str], idf: np.ndarray, found: list[dict[str, int]], weight: dict[int, float], rate: float) -> Model:
+    """A model without its curve, whose examples are the rows with terms; ``found`` has the counts of terms in each row."""
     model = Model(terms, idf, [], np.zeros(0), np.zeros(0), rate)
-    vectors = [model.vector(r[1] or "") for r in rows]
+    place = {t: i for i, t in enumerate(terms)}
+    vectors = [model.weighted({place[t]: c for t, c in x.items() if t in place}) for x in found]
     bare = [r[2] for r, v in zip(rows, vectors, strict=True) if not v]
     spread = sum(weight[c] for c in bare)
     model.prior = weight[1] * sum(bare) / spread if spread else rate
@@ -192,9 +188,41 @@ def fit(rows: list[tuple], totals: dict[int, int]) -> Model:
     model.labels = np.array([rows[i][2] for i in kept], float)
     model.weights = np.array([weight[rows[i][2]] for i in kept])
     model.index([vectors[i] for i in kept])
-    votes = [model.vote(*model.nearest(vectors[i], skip=p)) for p, i in enumerate(kept)] + [model.prior] * len(bare)
-    truth = [rows[i][2] for i in kept] + bare
-    model.curve = _monotone(np.array(votes), np.array(truth, float), np.array([weight[c] for c in truth]))
+    return model
+
+
+def fit(rows: list[tuple], totals: dict[int, int]) -> Model:
+    """A model from (key, text, label) rows and the number of rows of each label that they were drawn from."""
+    rows = sorted(rows, key=lambda r: (str(r[1]), str(r[0])))
+    n = Counter(r[2] for r in rows)
+    weight = {c: totals[c] / n[c] for c in n}
+    all_rows = sum(totals.values())
+    rate = totals.get(1, 0) / all_rows if all_rows else 0.0
+    if len(n) < 2:
+        return Model([], np.zeros(0), [], np.zeros(0), np.zeros(0), rate, curve=(np.array([0.0, 1.0]), np.array([rate, rate])))
+    fold = np.array([zlib.crc32((r[1] or "").encode("utf-8", "replace")) % FOLDS for r in rows])
+    label = np.array([r[2] for r in rows])
+    at: dict[str, int] = {}
+    grams = [np.fromiter((at.setdefault(g, len(at)) for g in _grams(r[1] or "")), np.int32) for r in rows]
+    names = list(at)
+    # Rows with each term, by fold and label; and rows.
+    having = np.array([[np.bincount(np.concatenate([np.zeros(0, np.int32), *(grams[i] for i in np.flatnonzero((fold == f) & (label == c)))]), minlength=len(names)) for c in (0, 1)] for f in range(FOLDS)])
+    rows_of = np.array([[((fold == f) & (label == c)).sum() for c in (0, 1)] for f in range(FOLDS)])
+    chosen = []
+    for out in (*range(FOLDS), None):  # without each part, and without none
+        h, k = (x.sum(axis=0) - (0 if out is None else x[out]) for x in (having, rows_of))
+        chosen.append(_terms(names, h[1], h[0], int(k[1]), int(k[0])))
+    every = Model(sorted({t for terms, _ in chosen for t in terms}), np.zeros(0), [], np.zeros(0), np.zeros(0), rate)
+    found = [{every.terms[i]: c for i, c in every.counts(r[1] or "").items()} for r in rows]
+    votes = np.zeros(len(rows))
+    for f in range(FOLDS):
+        own, others = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+        m = _indexed([rows[i] for i in others], *chosen[f], [found[i] for i in others], weight, rate)
+        place = {t: i for i, t in enumerate(m.terms)}
+        for i in own:
+            votes[i] = m.vote(*m.nearest(m.weighted({place[t]: c for t, c in found[i].items() if t in place})))
+    model = _indexed(rows, *chosen[-1], found, weight, rate)
+    model.curve = _monotone(votes, label.astype(float), np.array([weight[c] for c in label.tolist()]))
     return model
 
 
@@ -204,7 +232,8 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_i
     totals = {r._label: r["count"] for r in usable.groupBy("_label").count().collect()}
     share = F.coalesce(*[F.when(F.col("_label") == c, F.lit(min(1.0, LEARN_ROWS / t))) for c, t in totals.items()], F.lit(0.0))
     drawn = usable.where(F.pmod(F.xxhash64("_key"), F.lit(1_000_000)) < share * 1_000_000)  # of bounded size
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_key").collect()
+    found = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_key")
+    rows = found.groupBy("_key", "_label").agg(F.min("_text").alias("_text")).collect()  # so that repeats of a key add no rows
     return fit([(r._key, r._text, r._label) for r in rows], totals)
 
 
