@@ -5,7 +5,8 @@ scripts without spaces: all whose presence depends on the label by a chi-square
 index keeps the examples in blocks; a block's greatest weight of each term bounds the cosine of all its examples, so blocks are scored
 from the highest bound down until none can reach the ``NEIGHBOURS`` best: the result is that of a full scan. Votes are weighted by
 the square of the cosine, with a prior for texts without terms. A monotone fit makes scores of votes. As terms know the rows they were chosen on, it is fitted
-on the votes that each of ``FOLDS`` parts of the sample (by a hash of the text, so that equal texts stay together) gets from terms and examples of the others.
+on the votes that each of ``FOLDS`` parts of the sample gets from terms and examples of the others. The parts are dealt in order of the text, so that
+copies are met in the other parts as often as they will be among documents to score.
 
 The sample is bounded by ``LEARN_ROWS`` for each label, evenly drawn by a hash of the key; all else covers whole texts. Labels and keys
 of documents that are scored are no part of a score. Of several texts of one labelled key the least is learned from. Null, empty and blank texts have no terms and get the score of such texts.
@@ -16,7 +17,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -200,7 +200,7 @@ def fit(rows: list[tuple], totals: dict[int, int]) -> Model:
     rate = totals.get(1, 0) / all_rows if all_rows else 0.0
     if len(n) < 2:
         return Model([], np.zeros(0), [], np.zeros(0), np.zeros(0), rate, curve=(np.array([0.0, 1.0]), np.array([rate, rate])))
-    fold = np.array([zlib.crc32((r[1] or "").encode("utf-8", "replace")) % FOLDS for r in rows])
+    fold = np.arange(len(rows)) % FOLDS
     label = np.array([r[2] for r in rows])
     at: dict[str, int] = {}
     grams = [np.fromiter((at.setdefault(g, len(at)) for g in _grams(r[1] or "")), np.int32) for r in rows]
