@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from math import log, sqrt
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from voltaic.functions import features, ilr
 from voltaic.operators import clean, cluster, markov, meanrev, series, simulate, stats
+from voltaic.plans import catalog
 from voltaic.sources import market
 
 
@@ -297,3 +300,14 @@ def test_grid_resumes(spark):
     found = cluster.run_grid(todo, done, ["a", "b"], trial, "a long, b double, score double, status string").collect()
     assert len(found) == 5 and sorted({r.status for r in found}) == ["error: no", "ok"]
     assert cluster.run_grid(todo, todo, ["a", "b"], trial, "a long, b double, score double, status string").count() == 0
+
+
+def test_prices_on_an_edge_are_in_the_bin_of_the_sql(spark, tmp_path):
+    at = datetime(2024, 1, 1, 23)
+    values = [5.0 * k for k in range(1, 90)] + [7.0] * 20 + [0.0, -1.0, None]
+    df = spark.createDataFrame([(i, at, i, "view", v) for i, v in enumerate(values)], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+    df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    found = catalog.queries()["terminal_histogram"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == sorted(duck.sql(catalog.oracle_sql()["terminal_histogram"]).fetchall())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
@@ -368,7 +369,12 @@ def terminal_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {C._MC}, e AS (SELECT y FROM mc WHERE hour = 23), q AS (SELECT quantile_cont(y, 0.99) AS top FROM e) SELECT (CASE WHEN y >= 400 THEN 81 ELSE floor(y / 5) + 1 END)::BIGINT AS bin, count(*) AS n FROM e CROSS JOIN q WHERE y <= top GROUP BY 1")
 def terminal_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices of the last hour up to their 99th percentile."""
-    e = C._paths(spark, sf_dir).where("hour = 23").select(F.exp("x").alias("y"))
+
+    def through_log(x: float) -> float:  # by the C library, as DuckDB: Java's functions differ in the last bit, which puts a price of 5 on the other side of an edge
+        return x if math.isnan(x) else math.exp(math.log(x))
+
+    last = A.table(spark, sf_dir, "events").where(F.hour("ts") == 23)
+    e = last.select(F.udf(through_log, "double", useArrow=False)(F.greatest("value", F.lit(series.FLOOR))).alias("y"))
     top = stats.exact_percentiles(e, [], "y", {"p99": 0.99}).first()  # one number
     return stats.histogram(e.where(F.col("y") <= F.lit(top.p99 if top else None)), F.col("y"), 0.0, 400.0, 80)
 
