@@ -41,3 +41,28 @@ def test_neighbours_are_those_of_all_pairs(monkeypatch):
             assert (got_at == at).all() and (got_dist == dist).all()
             part = cluster.knn(x, 7, 50, 90)
             assert (part[0] == at[50:90]).all() and (part[1] == dist[50:90]).all()
+
+
+def plain_tree(x, least):
+    core = plain_knn(x, least)[1][:, -1]
+    inside, best, link, edges, cur = np.zeros(len(x), bool), np.full(len(x), np.inf), np.zeros(len(x), int), [], 0
+    for _ in range(len(x) - 1):
+        inside[cur] = True
+        d = np.maximum(np.sqrt(((x - x[cur]) ** 2).sum(axis=1)), np.maximum(core, core[cur]))
+        better = ~inside & (d < best)
+        best[better], link[better] = d[better], cur
+        cur = int(np.where(inside, np.inf, best).argmin())
+        edges.append((float(best[cur]), int(link[cur]), cur))
+    return sorted(edges)
+
+
+def test_trees_hold_tiles():
+    x = np.random.default_rng(0).normal(0, 1, (16_000, 4))
+    assert peak_mb(lambda: cluster.spanning_tree(x, 10)) < 150  # 2,262 MB with blocks of whole rows
+
+
+def test_trees_are_those_of_all_pairs():
+    rng = np.random.default_rng(2)
+    for x in (rng.normal(0, 1, (400, 5)), np.repeat(rng.normal(0, 1, (40, 4)), 8, axis=0), 1e6 + rng.normal(0, 1, (300, 3)), rng.integers(0, 4, (300, 3)).astype(float)):
+        assert cluster.spanning_tree(x, 6) == plain_tree(x, 6)
+        assert (cluster.hdbscan(x, 6) == cluster.hdbscan(x, 6, plain_tree(x, 6))).all()
