@@ -66,3 +66,14 @@ def test_trees_are_those_of_all_pairs():
     for x in (rng.normal(0, 1, (400, 5)), np.repeat(rng.normal(0, 1, (40, 4)), 8, axis=0), 1e6 + rng.normal(0, 1, (300, 3)), rng.integers(0, 4, (300, 3)).astype(float)):
         assert cluster.spanning_tree(x, 6) == plain_tree(x, 6)
         assert (cluster.hdbscan(x, 6) == cluster.hdbscan(x, 6, plain_tree(x, 6))).all()
+
+
+def test_moves_are_held_in_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (6_000, 4))
+    assert peak_mb(lambda: cluster.umap(x, 30, 0.1, 20, epochs=3)) < 70  # 101 MB with all moves of an epoch at once
+    x = np.concatenate([rng.normal(c, 0.1, (60, 4)) for c in (0, 5)])
+    whole = cluster.umap(x, 10, 0.1, epochs=4)
+    assert (whole == cluster.umap(x, 10, 0.1, epochs=4, near=cluster.knn(x, 20))).all()
+    monkeypatch.setattr(cluster, "MOVES", 300)
+    assert np.allclose(whole, cluster.umap(x, 10, 0.1, epochs=4), rtol=0, atol=1e-9)
