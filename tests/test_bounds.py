@@ -77,3 +77,13 @@ def test_moves_are_held_in_parts(monkeypatch):
     assert (whole == cluster.umap(x, 10, 0.1, epochs=4, near=cluster.knn(x, 20))).all()
     monkeypatch.setattr(cluster, "MOVES", 300)
     assert np.allclose(whole, cluster.umap(x, 10, 0.1, epochs=4), rtol=0, atol=1e-9)
+
+
+def test_slices_give_the_whole(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(0, 1, (500, 4))
+    monkeypatch.setattr(cluster, "SLICE_ROWS", 70)
+    at, dist = cluster.shared_knn(spark, spark.sparkContext.broadcast(x), 15)
+    whole = cluster.knn(x, 15)
+    assert (at == whole[0]).all() and (dist == whole[1]).all()
+    for k in (5, 15):
+        assert cluster.mode_trial(x, k, 5, near=(at, dist)) == cluster.mode_trial(x, k, 5)

@@ -368,8 +368,8 @@ def pca_k90(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _points(spark: SparkSession, sf_dir: str) -> tuple[list, np.ndarray, np.ndarray]:
     """The points of a trial, which holds them all."""
-    rows = A.table(spark, sf_dir, "embeddings").orderBy("vec_id").collect()
-    return [r.vec_id for r in rows], np.array([r.embedding for r in rows], float), np.array([r.label for r in rows])
+    rows = A.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label").orderBy("vec_id").toArrow()
+    return rows["vec_id"].to_pylist(), np.array(rows["embedding"].to_pandas().tolist(), float), rows["label"].to_numpy()
 
 
 _D = "sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))))"

@@ -313,9 +313,14 @@ def _mode_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tempfile import mkdtemp
 
     points = spark.sparkContext.broadcast(C._points(spark, sf_dir)[1])
+    near = spark.sparkContext.broadcast(cluster.shared_knn(spark, points, max(_MODES["k"])))  # all trials begin with these
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + mkdtemp(prefix="voltaic-")
     result = "k long, clusters long, n_found long, noise double, silhouette double, persistence double, status string"
-    return cluster.resumed_grid(cluster.grid(spark, **_MODES), f"{folder.rstrip('/')}/voltaic/grid-{uuid.uuid4().hex}", list(_MODES), lambda k, clusters: cluster.mode_trial(points.value, int(k), int(clusters)), result)
+
+    def trial(k, clusters) -> dict:
+        return cluster.mode_trial(points.value, int(k), int(clusters), near=near.value)
+
+    return cluster.resumed_grid(cluster.grid(spark, **_MODES), f"{folder.rstrip('/')}/voltaic/grid-{uuid.uuid4().hex}", list(_MODES), trial, result)
 
 
 @_query()
