@@ -5,6 +5,7 @@ from __future__ import annotations
 import tracemalloc
 
 import numpy as np
+import pytest
 
 from voltaic.operators import cluster
 
@@ -87,3 +88,47 @@ def test_slices_give_the_whole(spark, monkeypatch):
     assert (at == whole[0]).all() and (dist == whole[1]).all()
     for k in (5, 15):
         assert cluster.mode_trial(x, k, 5, near=(at, dist)) == cluster.mode_trial(x, k, 5)
+
+
+def test_scores_hold_tiles():
+    x = np.random.default_rng(5).normal(0, 1, (16_000, 4))
+    assert peak_mb(lambda: cluster.silhouette(x, np.arange(16_000) % 400)) < 150  # 451 MB with blocks of whole rows
+    few, labels = x[:600], np.arange(600) % 7 - 1
+    d = np.sqrt(((few[:, None] - few) ** 2).sum(axis=2))[labels != -1][:, labels != -1]
+    own = labels[labels != -1]
+    a = np.array([d[i, own == own[i]].sum() / ((own == own[i]).sum() - 1) for i in range(len(own))])
+    b = np.array([min(d[i, own == c].mean() for c in range(6) if c != own[i]) for i in range(len(own))])
+    assert cluster.silhouette(few, labels) == pytest.approx(((b - a) / np.maximum(a, b)).mean())
+
+
+def test_trials_share_a_layout(spark, tmp_path):
+    seen = str(tmp_path / "seen")
+
+    def begin(a):
+        with open(seen, "a") as f:
+            f.write("x")
+        if a == 3:
+            raise ValueError("no layout")
+        return a * 10
+
+    def trial(a, b, begun):
+        if b == 2:
+            raise ValueError("no trial")
+        return {"score": float(begun + b)}
+
+    result = "a long, b long, score double, status string"
+    found = cluster.run_grid(cluster.grid(spark, a=[1, 3], b=[1, 2]), None, ["a", "b"], trial, result, shared=["a"], begin=begin).collect()
+    assert {(r.a, r.b): (r.score, r.status) for r in found} == {(1, 1): (11.0, "ok"), (1, 2): (None, "error: no trial"), (3, 1): (None, "error: no layout"), (3, 2): (None, "error: no layout")}
+    assert open(seen).read() == "xx"
+
+
+def test_a_shared_layout_scores_as_its_own():
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 0.05, (60, 4)) for c in (0, 5, 10)])
+    begun = cluster.trial_layout(x, 10, 0.1, 40, near=cluster.knn(x, 30))
+    for least in (10, 20, 40):
+        y = cluster.umap(x, 10, 0.1, 4, epochs=100)
+        labels = cluster.hdbscan(y, least)
+        got = cluster.layout_score(*begun, least)
+        assert got["silhouette"] == cluster.silhouette(y, labels) and got["validity"] == cluster.relative_validity(cluster.spanning_tree(y, least), labels)
+        assert got == cluster.layout_trial(x, 10, 0.1, least)

@@ -467,13 +467,19 @@ def grid_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grid_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each combination's layout and density clusters of the embeddings, ranked by silhouettes that aren't mostly noise."""
     points = spark.sparkContext.broadcast(_points(spark, sf_dir)[1])
+    near = spark.sparkContext.broadcast(cluster.shared_knn(spark, points, max(_GRID["n_neighbors"])))  # all trials begin with these
+    layout, most = ["n_neighbors", "min_dist"], max(_GRID["min_cluster_size"])
 
-    def trial(n_neighbors, min_dist, min_cluster_size) -> dict:
-        return cluster.layout_trial(points.value, int(n_neighbors), float(min_dist), int(min_cluster_size))
+    def begin(n_neighbors, min_dist) -> tuple:
+        return cluster.trial_layout(points.value, int(n_neighbors), float(min_dist), most, near=near.value)
+
+    def trial(n_neighbors, min_dist, min_cluster_size, begun) -> dict:
+        return cluster.layout_score(*begun, int(min_cluster_size))
 
     result = "n_neighbors long, min_dist string, min_cluster_size long, n_clusters long, noise double, silhouette double, validity double, status string"
     todo = cluster.grid(spark, **_GRID)
-    found = cluster.run_grid(todo.repartition(todo.count(), *_GRID), None, list(_GRID), trial, result).withColumn("score", cluster.gated(F.col("silhouette"), F.col("noise")))
+    dealt = todo.repartition(16 * todo.select(*layout).distinct().count() + 1, *layout)  # so many that hardly two layouts meet in a task
+    found = cluster.run_grid(dealt, None, list(_GRID), trial, result, shared=layout, begin=begin).withColumn("score", cluster.gated(F.col("silhouette"), F.col("noise")))
     return cluster.ranked(found, "score", list(_GRID))
 
 
