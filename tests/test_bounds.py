@@ -59,7 +59,7 @@ def plain_tree(x, least):
 
 def test_trees_hold_tiles():
     x = np.random.default_rng(0).normal(0, 1, (16_000, 4))
-    assert peak_mb(lambda: cluster.spanning_tree(x, 10)) < 150  # 2,262 MB with blocks of whole rows
+    assert peak_mb(lambda: cluster.spanning_tree(x, 10)) < 150  # 2,262 MB for the nearest five alone with blocks of whole rows
 
 
 def test_trees_are_those_of_all_pairs():
@@ -92,7 +92,7 @@ def test_slices_give_the_whole(spark, monkeypatch):
 
 def test_scores_hold_tiles():
     x = np.random.default_rng(5).normal(0, 1, (16_000, 4))
-    assert peak_mb(lambda: cluster.silhouette(x, np.arange(16_000) % 400)) < 150  # 451 MB with blocks of whole rows
+    assert peak_mb(lambda: cluster.silhouette(x, np.arange(16_000) % 400)) < 150  # 563 MB for 20,000 points with blocks of whole rows
     few, labels = x[:600], np.arange(600) % 7 - 1
     d = np.sqrt(((few[:, None] - few) ** 2).sum(axis=2))[labels != -1][:, labels != -1]
     own = labels[labels != -1]
