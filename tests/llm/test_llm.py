@@ -635,6 +635,46 @@ def test_quality_is_of_word_trigrams(spark, monkeypatch, hot):
             assert r.perplexity == pytest.approx(brute_trigrams(learnt, "a cat" if r.doc_id is None else (trusted + other)[r.doc_id]), rel=1e-6)
 
 
+@pytest.mark.parametrize("hot", [100_000, 2])
+def test_quality_is_of_word_trigrams_in_slices(spark, monkeypatch, hot):
+    """Many slices and shards, blocks of few texts, and middle words that go to several shards."""
+    from voltaic.llm import word_model
+
+    for name, value in (("HOT", hot), ("SHARD", 40), ("SLICE", 300), ("SLICES", 3), ("BLOCK", 60), ("COMMON", 20)):
+        monkeypatch.setattr(word_model, name, value)
+    rng = random.Random(11)
+    some = ["the", "the", "the", "of", *(f"w{i}" for i in range(12))]
+    rows = [" ".join(rng.choice(some) for _ in range(rng.randrange(1, 40))) for _ in range(60)] + ["", None, " ", "the the zebra the"]
+    d = spark.createDataFrame(list(enumerate(rows)), "block long, text string").withColumn("words", F.lit("en")).repartition(3)
+    deals = []
+    monkeypatch.setattr(word_model, "Deal", lambda *x, make=word_model.Deal: deals.append(make(*x)) or deals[-1])
+    got = {r.block: r for r in kneser_ney.classify(d, spark.range(40).withColumnRenamed("id", "block"), "block", "text", "words").collect()}
+    assert deals[0].slices == 3 and deals[0].shards > 3 and deals[0].wide
+    assert len(got) == 64 and got[60].perplexity is None and got[61].perplexity is None and got[60].n_scored == 0
+    for i in (*range(0, 60, 5), 62, 63):
+        assert got[i].perplexity == pytest.approx(brute_trigrams(rows[:40], rows[i]), rel=1e-9)
+    rest = [t for i, t in enumerate(rows[:40]) if crc32(str(i).encode()) % kneser_ney.HELD_OUT]
+    held = [brute_trigrams(rest, t) for t in rows[:40] if t not in rest]
+    assert min(held) * kneser_ney.MARGIN < got[0].threshold <= max(held) * kneser_ney.MARGIN * 1.001
+
+
+def test_hashes_of_words_without_strings():
+    """Equal to the words by pattern, in number and in which are equal."""
+    from voltaic.llm import word_model
+
+    rng = random.Random(1)
+    some = [*map(chr, range(0x20, 0x250)), *"漢字かなไทย한국\u3000\u00a0\n\t_İßǅ²½Ⅷ\U0001f600\U00020001\u0663é", *(chr(rng.randrange(0x250, 0xD800)) for _ in range(3_000))]
+    known = {}
+    for _ in range(300):
+        texts = [rng.choice([None, "", "".join(rng.choice(some if rng.random() < 0.5 else "ab c.") for _ in range(rng.randrange(60)))]) for _ in range(rng.randrange(1, 9))]
+        hashes, many = word_model._hashed(texts)
+        found = [word_model.words(t or "") for t in texts]
+        assert many.tolist() == [len(w) for w in found]
+        for w, h in zip([w for x in found for w in x], hashes.tolist(), strict=True):
+            assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known) > 1_000
+
+
 def test_order_of_words_counts_for_quality(spark):
     text = lambda k: " ".join(f"word{(k + i) % 40} then" for i in range(60))
     shuffled = text(0).split()

@@ -1,6 +1,6 @@
 """Quality by an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-``classify`` scores words (``word_model``): trigrams of all trusted texts in sharded tables that grow with the text, joined with each document's.
+``classify`` scores words (``word_model``): trigrams of all trusted texts meet each document's in shards, a slice of them at a time.
 Each text gets its perplexity, and is kept if that is at most its language's limit: the ``QUANTILE`` of the perplexities of trusted texts in that
 language, times ``MARGIN``. A model of words knows its own texts by heart, so the limits are those of one in ``HELD_OUT`` trusted texts under a model of the
 others. Languages without such text take the quantile of all. Quantiles are exact for perplexities rounded to a thousandth of their
@@ -42,19 +42,15 @@ def limits(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN
 
 def classify(df: DataFrame, trusted_keys: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """Perplexity, threshold and verdict of each document; ``trusted_keys`` has the keys of those to learn from."""
-    df = df.select(key, text, lang)  # so that no other column's name can clash
+    df = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("lang"))  # so that no column's name can clash
     keys = few(stored(trusted_keys.select(F.col(key).alias("_trusted")).where("_trusted is not null").distinct()))
-    of_trusted = lambda t: t.join(keys, t[key] == F.col("_trusted"), "left_semi")
-    trusted = of_trusted(df).select(F.col(key), text, F.col(lang).alias("lang"), (F.crc32(F.col(key).cast("string")) % HELD_OUT == 0).alias("_held"))
-    counts = stored(word_model.trigram_counts(trusted.select(text, "_held"), text, "_held"))
-    model = word_model.weights(counts.drop("rest"))
-    scored = stored(word_model.perplexities(df, model, key, text, lang))
-    rest = word_model.weights(counts.where("rest > 0").drop("c").withColumnRenamed("rest", "c"))
-    own = stored(word_model.perplexities(trusted.where("_held"), rest, key, text, "lang")) if rest[2] else scored.where("false")
-    if own.where("perplexity is not null").isEmpty():  # too few trusted texts to hold any out
-        own = of_trusted(scored)
+    marked = df.join(keys, df["_key"] == F.col("_trusted"), "left").withColumn("_held", F.coalesce(F.crc32(F.col("_key").cast("string")) % HELD_OUT == 0, F.lit(False)))
+    scored = stored(word_model.perplexities(marked.withColumn("_trusted", F.col("_trusted").isNotNull()), "_key", "_text", "lang", "_trusted", "_held"))
+    own = scored.select("lang", F.col("rest").alias("perplexity")).where("perplexity is not null")
+    if own.isEmpty():  # too few trusted texts to hold any out
+        own = scored.where("flag > 0")
     by_lang, every = limits(own, quantile, margin)
     by_lang = by_lang.withColumnRenamed("lang", "_lang")
     joined = scored.join(by_lang, scored["lang"].eqNullSafe(by_lang["_lang"]), "left")
     limit = F.coalesce("threshold", F.lit(float("inf") if every is None else every))
-    return joined.select(key, "lang", "n_scored", "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= limit, F.lit(False)).alias("kept"))
+    return joined.select(F.col("_key").alias(key), "lang", "n_scored", "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= limit, F.lit(False)).alias("kept"))
