@@ -309,18 +309,19 @@ _MODES = {"k": [5, 10, 15], "clusters": [5, 10]}
 
 
 def _mode_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Real trials over the embeddings, kept as they end."""
+    """Real trials over the embeddings, kept as they end, with the silhouettes of all points, found once for all of them."""
     from tempfile import mkdtemp
 
     points = spark.sparkContext.broadcast(C._points(spark, sf_dir)[1])
     near = spark.sparkContext.broadcast(cluster.shared_knn(spark, points, max(_MODES["k"])))  # all trials begin with these
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + mkdtemp(prefix="voltaic-")
-    result = "k long, clusters long, n_found long, noise double, silhouette double, persistence double, status string"
+    result = "k long, clusters long, n_found long, noise double, persistence double, labels binary, status string"
 
     def trial(k, clusters) -> dict:
-        return cluster.mode_trial(points.value, int(k), int(clusters), near=near.value)
+        return cluster.mode_labels(points.value, int(k), int(clusters), near.value)
 
-    return cluster.resumed_grid(cluster.grid(spark, **_MODES), f"{folder.rstrip('/')}/voltaic/grid-{uuid.uuid4().hex}", list(_MODES), trial, result)
+    kept = cluster.resumed_grid(cluster.grid(spark, **_MODES), f"{folder.rstrip('/')}/voltaic/grid-{uuid.uuid4().hex}", list(_MODES), trial, result)
+    return cluster.scored_modes(kept, points, list(_MODES)).select(*_MODES, "n_found", "noise", "silhouette", "persistence", "status")
 
 
 @_query()
@@ -340,7 +341,9 @@ def tomato_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def persistence_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mode_trials(spark, sf_dir).select("k", "clusters", "persistence", "silhouette").dropna()
+    """Of each trial that found two clusters or more; raises RuntimeError if one failed."""
+    found = cluster.finished(_mode_trials(spark, sf_dir), list(_MODES))
+    return found.select("k", "clusters", "persistence", "silhouette").dropna(subset=["silhouette"])
 
 
 # --- mean reversion and paths -------------------------------------------------------------------------------------------------
