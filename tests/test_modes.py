@@ -77,3 +77,14 @@ def test_persistences_are_of_all_trials(spark, many, trials):
         figures.persistence_silhouette(spark, "")  # the rows of the others before
     trials(failed=False)
     assert sorted(map(tuple, figures.persistence_silhouette(spark, "").collect())) == [(5, 5, 0.1, 0.4), (10, 10, None, 0.3)]
+
+
+def test_the_best_is_of_all_trials_and_points(spark, many, trials):
+    folder, want = many
+    got = figures.tomato_best(spark, folder).first()
+    assert (got.k, got.clusters) == max(want, key=want.get) and got.silhouette == pytest.approx(max(want.values()))
+    trials(failed=True)
+    with pytest.raises(RuntimeError, match="1 trials failed.*over 480 s"):
+        figures.tomato_best(spark, "")  # the best of the others before
+    trials(failed=False)
+    assert figures.tomato_best(spark, "").first().silhouette == 0.4

@@ -336,7 +336,8 @@ def tomato_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def tomato_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.best(_mode_trials(spark, sf_dir), "silhouette", list(_MODES))
+    """The best of all trials; raises RuntimeError if one failed, as it might be the best, or if none has a silhouette."""
+    return cluster.best(cluster.finished(_mode_trials(spark, sf_dir), list(_MODES)), "silhouette", list(_MODES))
 
 
 @_query()
