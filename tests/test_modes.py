@@ -88,3 +88,12 @@ def test_the_best_is_of_all_trials_and_points(spark, many, trials):
         figures.tomato_best(spark, "")  # the best of the others before
     trials(failed=False)
     assert figures.tomato_best(spark, "").first().silhouette == 0.4
+
+
+def test_the_grid_scores_all_points_and_shows_what_failed(spark, many, trials):
+    folder, want = many
+    got = figures.tomato_grid(spark, folder).orderBy("rank").collect()
+    assert {(r.k, r.clusters): r.silhouette for r in got} == pytest.approx(want)
+    assert [(r.k, r.clusters) for r in got] == sorted(want, key=want.get, reverse=True) and all(r.status == "ok" and r.n_found >= 2 for r in got)
+    trials(failed=True)
+    assert [(r.k, r.clusters, r.silhouette) for r in figures.tomato_grid(spark, "").orderBy("rank").collect()] == [(5, 5, 0.4), (10, 10, 0.3), (5, 10, None), (10, 5, None)]
