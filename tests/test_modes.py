@@ -97,3 +97,14 @@ def test_the_grid_scores_all_points_and_shows_what_failed(spark, many, trials):
     assert [(r.k, r.clusters) for r in got] == sorted(want, key=want.get, reverse=True) and all(r.status == "ok" and r.n_found >= 2 for r in got)
     trials(failed=True)
     assert [(r.k, r.clusters, r.silhouette) for r in figures.tomato_grid(spark, "").orderBy("rank").collect()] == [(5, 5, 0.4), (10, 10, 0.3), (5, 10, None), (10, 5, None)]
+
+
+def test_the_heat_map_is_of_all_trials_and_points(spark, many, trials):
+    folder, want = many
+    got = {(r.k, c): r[f"clusters_{c}"] for r in figures.tomato_heatmap(spark, folder).collect() for c in (5, 10)}
+    assert got == pytest.approx(want)
+    trials(failed=True)
+    with pytest.raises(RuntimeError, match="1 trials failed.*over 480 s"):
+        figures.tomato_heatmap(spark, "")  # a null before
+    trials(failed=False)
+    assert sorted(map(tuple, figures.tomato_heatmap(spark, "").collect())) == [(5, 0.4, None), (10, None, 0.3)]

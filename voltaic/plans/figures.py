@@ -331,7 +331,8 @@ def tomato_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def tomato_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.heat_map(_mode_trials(spark, sf_dir), "k", "clusters", "silhouette", _MODES["clusters"])
+    """The silhouette of each pair of parameters; raises RuntimeError if a trial failed, so that a null is a trial without two clusters."""
+    return cluster.heat_map(cluster.finished(_mode_trials(spark, sf_dir), list(_MODES)), "k", "clusters", "silhouette", _MODES["clusters"])
 
 
 @_query()
